@@ -136,3 +136,31 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def rewrite(df: DataFrame, inputs: list[str], added: str, work: Callable[[], Callable[..., list]]) -> DataFrame:
+    """``df`` with columns computed in Python: ``added`` (DDL) replaces columns of the same names, others stay as they are.
+
+    ``work()`` runs once per task; its result gets one list per column of ``inputs`` and returns one list per added
+    column. Inputs that start with ``__`` are helpers and don't appear in the result.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    kept = [f for f in df.schema.fields if f.name not in new.names and not f.name.startswith("__")]
+    schema = StructType([*kept, *new.fields])
+    target = to_arrow_schema(StructType(new.fields))
+    kept_names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner = work()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out = inner(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs])
+                arrays = [part.column(part.schema.get_field_index(c)) for c in kept_names]
+                arrays += [pa.array(x, type=f.type) for x, f in zip(out, target, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkgauge.llm import chat_collapse, harmonic_packing, token_counts, url_rules, zstd_langid
+from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, token_counts, url_rules, zstd_langid
 from inkgauge.llm.common import table
 
 URL_RULES: list[url_rules.Rule] = [
@@ -29,6 +30,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cuckoo_lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_langid.classify_held_out(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
+    return {f.__name__: f for f in (op3_packing, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
 
 
 OP9_SQL = """
@@ -86,5 +92,20 @@ WHERE (n_turns, digest) NOT IN (SELECT (position, digest) FROM prefixes WHERE po
 """
 
 
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+keyed AS (
+  SELECT doc_id, line, place,
+    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE first_doc < doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE first_doc IS NULL OR first_doc = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": OP9_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op6_line_dedup": OP6_SQL, "op9_url_filters": OP9_SQL, "op10_chat_formatting": OP10_SQL}
