@@ -164,3 +164,40 @@ def rewrite(df: DataFrame, inputs: list[str], added: str, work: Callable[[], Cal
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``durable`` for large tables: Parquet in a folder of its own below ``spark.checkpoint.dir``.
+
+    Smaller than a checkpoint and read by columns. The folder goes when the driver's Python ends.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    if not _written:
+        import atexit
+
+        atexit.register(_remove_written)
+    durable(spark.range(0))  # sets the folder
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    _written.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _remove_written() -> None:
+    for spark, folder in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to clean
+            return
+
+
+def distinct_sorted(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
