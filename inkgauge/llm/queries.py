@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, rlz_substring, token_counts, url_rules, zstd_langid
+from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, minhash_dedup, rlz_substring, token_counts, url_rules, zstd_langid
 from inkgauge.llm.common import table
 
 URL_RULES: list[url_rules.Rule] = [
@@ -26,6 +26,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.link_components(docs).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -58,7 +63,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_substring_dedup, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_packing, op4_substring_dedup, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
 
 
 OP9_SQL = """
