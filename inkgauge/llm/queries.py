@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, minhash_dedup, rlz_substring, token_counts, url_rules, zstd_langid
+from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, mcd_quality, minhash_dedup, rlz_substring, token_counts, url_rules, zstd_langid
 from inkgauge.llm.common import table
 
 URL_RULES: list[url_rules.Rule] = [
@@ -40,6 +40,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd_quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return cuckoo_lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -63,7 +67,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_packing, op4_substring_dedup, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_packing, op4_substring_dedup, op5_quality_rules, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
 
 
 OP9_SQL = """
