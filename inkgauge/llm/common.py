@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters that separate words: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Documents that a Python worker handles at once, so that its memory follows single documents, not Arrow batches.
-SLICE = 256
+#: A Python worker handles at most so many rows, and about so many bytes, at once.
+SLICE, SLICE_BYTES = 1024, 2_000_000
 #: Entries of one generation of a worker's word cache; two generations are held.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -48,8 +48,14 @@ def lower_ascii(column):
 
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = min(SLICE, max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dict], list], list]], columns: list[str]) -> DataFrame:
-    """Run ``work()`` once per task, then its result on slices of SLICE rows.
+    """Run ``work()`` once per task, then its result on slices of the rows.
 
     The inner function gets one list per input column and returns one list or array per output column.
     """
@@ -61,8 +67,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = work()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 out = inner(*[part.column(i).to_pylist() for i in range(part.num_columns)])
                 arrays = [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, type=f.type) for x, f in zip(out, target, strict=True)]
                 if len(arrays[0]):
@@ -77,14 +82,21 @@ class Remembered:
     def __init__(self, compute: Callable[[list], list], limit: int = CACHE_WORDS) -> None:
         self.compute, self.limit, self.now, self.past = compute, limit, {}, {}
 
+    def get(self, word):
+        """The value of a remembered word, else None."""
+        return self.now.get(word, self.past.get(word))
+
     def of(self, words: set) -> dict:
         """A mapping that holds all of ``words``."""
         fresh = words.difference(self.now)
         if len(self.now) + len(fresh) > self.limit:
             self.now, self.past, fresh = {}, self.now, words
-        known = fresh.intersection(self.past)
-        self.now.update((w, self.past[w]) for w in known)
-        new = list(fresh - known)
+        past, new = self.past, []
+        for w in fresh:
+            if w in past:
+                self.now[w] = past[w]
+            else:
+                new.append(w)
         self.now.update(zip(new, self.compute(new), strict=True))
         return self.now
 
@@ -156,8 +168,7 @@ def rewrite(df: DataFrame, inputs: list[str], added: str, work: Callable[[], Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = work()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 out = inner(*[part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs])
                 arrays = [part.column(part.schema.get_field_index(c)) for c in kept_names]
                 arrays += [pa.array(x, type=f.type) for x, f in zip(out, target, strict=True)]

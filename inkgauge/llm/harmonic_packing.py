@@ -45,11 +45,12 @@ def encoder(tokenizer_path: str, *, end_id: int) -> Callable[[list[str | None]],
     def alone(word: str) -> bytes:
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids_of(words: list[str]) -> list[bytes]:
+    def from_library(words: list[str]) -> list[bytes]:
         if not parting or not words:
             return [alone(w) for w in words]
         odd = {i for i, w in enumerate(words) if any(s in w for s in special)}
-        ids = np.array(tokenizer.encode(parting.join("" if i in odd else w for i, w in enumerate(words)), add_special_tokens=False).ids, "<u4")
+        text = parting.join("" if i in odd else w for i, w in enumerate(words))
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == parting_id).tolist()
         data, starts, ends = ids.tobytes(), [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), 4 * len(ids)]
         out = [data[a:b] for a, b in zip(starts, ends, strict=True)]
@@ -57,6 +58,16 @@ def encoder(tokenizer_path: str, *, end_id: int) -> Callable[[list[str | None]],
             out[i] = alone(words[i])
         return out
 
+    def ids_of(words: list[str]) -> list[bytes]:
+        """Through a plainer form that has the same ids: A-Z lowered, a mark after letters on its own."""
+        plain = [(w.lower() if w.isascii() and "<|" not in w else w) for w in words]
+        stems = [w[:-1] if w[-1:] in marks and w[:-1].isalpha() else w for w in plain]
+        ids = {w: known.get(w) for w in {*stems, *marks}}
+        new = [w for w, x in ids.items() if x is None]
+        ids.update(zip(new, from_library(new), strict=True))
+        return [ids[s] if s is w else ids[s] + ids[w[-1]] for s, w in zip(stems, plain, strict=True)]
+
+    marks = (".", ",")
     known = Remembered(ids_of)
 
     def encode(texts: list[str | None]) -> list[bytes]:
