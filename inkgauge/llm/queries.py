@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, mcd_quality, minhash_dedup, rlz_substring, token_counts, url_rules, zstd_langid
+from inkgauge.llm import chat_collapse, cuckoo_lines, harmonic_packing, mcd_quality, minhash_dedup, rlz_substring, template_decontam, token_counts, url_rules, zstd_langid
 from inkgauge.llm.common import table
 
 URL_RULES: list[url_rules.Rule] = [
@@ -31,6 +31,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.link_components(docs).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -67,7 +71,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_packing, op4_substring_dedup, op5_quality_rules, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_packing, op4_substring_dedup, op5_quality_rules, op6_line_dedup, op7_language_id, op8_token_counts, op9_url_filters, op10_chat_formatting)}
 
 
 OP9_SQL = """
@@ -106,6 +110,44 @@ WHERE (n_turns, digest) NOT IN (SELECT (position, digest) FROM prefixes WHERE po
 """
 
 
+OP2_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+marked AS (SELECT side, id, regexp_replace(translate(coalesce(text, ''), chr(1), ' '), '([\p{Ll}\p{N},;]) (\p{Lu}\p{Ll}+)', '\1 ' || chr(1) || '\2', 'g') AS t FROM texts),
+marked2 AS (SELECT side, id, regexp_replace(regexp_replace(t, '(\x01\p{Lu}\p{Ll}+) (\p{Lu}\p{Ll}+)', '\1 ' || chr(1) || '\2', 'g'), '(\x01\p{Lu}\p{Ll}+) (\p{Lu}\p{Ll}+)', '\1 ' || chr(1) || '\2', 'g') AS t FROM marked),
+joined AS (SELECT side, id, regexp_replace(regexp_replace(t, '([0-9])[.,]([0-9])', '\1\2', 'g'), '([0-9])[.,]([0-9])', '\1\2', 'g') AS t FROM marked2),
+toks AS (SELECT side, id, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}\x01]+'), lambda w: w <> '') AS words FROM joined),
+formed AS (
+  SELECT side, id, words, len(words) AS n,
+    list_transform(words, lambda w, i: CASE WHEN regexp_matches(w, '^[0-9]') THEN '<num>'
+      WHEN list_contains(UNITS, w) AND i > 1 AND regexp_matches(words[i - 1], '^[0-9]') THEN '<unit>' ELSE ltrim(w, chr(1)) END) AS plain,
+    list_transform(words, lambda w, i: CASE WHEN regexp_matches(w, '^[0-9]') THEN '<num>'
+      WHEN list_contains(UNITS, w) AND i > 1 AND regexp_matches(words[i - 1], '^[0-9]') THEN '<unit>' WHEN starts_with(w, chr(1)) THEN '<name>' ELSE w END) AS named
+  FROM toks),
+widths AS (SELECT DISTINCT least(8, n) AS width FROM formed WHERE side = 'b' AND n >= 5),
+placed AS (
+  SELECT side, id, width, unnest(generate_series(1, n - width + 1)) AS place, words, plain, named
+  FROM formed JOIN widths ON n >= width AND (side = 'd' OR (n >= 5 AND width = least(8, n)))),
+cut AS (
+  SELECT side, id, width, place, words[place:place + width - 1] AS words, plain[place:place + width - 1] AS plain, named[place:place + width - 1] AS named FROM placed),
+formwise AS (
+  SELECT side, id, width, place, words, plain AS form, 'plain' AS kind FROM cut
+  UNION ALL SELECT side, id, width, place, words, named, 'named' FROM cut),
+keyed AS (
+  SELECT side, id, width, place, form, kind,
+    list_filter(list_transform(words, lambda w, i: CASE WHEN form[i] IN ('<num>', '<unit>', '<name>') THEN w END), lambda w: w IS NOT NULL) AS vals
+  FROM formwise WHERE side = 'b' OR EXISTS (SELECT 1 FROM formwise b WHERE b.side = 'b' AND b.kind = formwise.kind AND b.form = formwise.form)),
+slotted AS (SELECT *, list_transform(vals, lambda v: list_position(vals, v)) AS pattern FROM keyed),
+totals AS (SELECT id AS item_id, count(*) AS n_windows FROM cut WHERE side = 'b' GROUP BY id),
+hit AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(DISTINCT b.place) AS n_hits
+  FROM slotted d JOIN slotted b ON d.kind = b.kind AND d.width = b.width AND d.form = b.form AND d.pattern = b.pattern
+  WHERE d.side = 'd' AND b.side = 'b' AND 2 * len(list_filter(b.form, lambda w: w NOT IN ('<num>', '<unit>', '<name>'))) >= len(b.form)
+  GROUP BY d.id, b.id)
+SELECT doc_id, item_id, n_hits, n_windows FROM hit JOIN totals USING (item_id)
+WHERE n_hits >= least(6, ceil(n_windows / 2))
+""".replace("UNITS", "[" + ", ".join(f"'{u}'" for u in template_decontam.UNITS) + "]")
+
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
@@ -122,4 +164,4 @@ FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op9_url_filters": OP9_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_url_filters": OP9_SQL, "op10_chat_formatting": OP10_SQL}
