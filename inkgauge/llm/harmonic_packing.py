@@ -25,6 +25,8 @@ from inkgauge.llm.common import Remembered, durable, map_slices
 
 #: Pieces shorter than this are tails of documents: a class for each length.
 TAIL = 64
+#: Words of one generation of the encoder's memory, about 200 bytes each.
+WORDS = 800_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -41,34 +43,58 @@ def encoder(tokenizer_path: str, *, end_id: int) -> Callable[[list[str | None]],
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
     parting, parting_id = next(iter(special.items()), ("", -1))
     end = np.array([end_id], "<u4").tobytes()
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_word[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
 
     def alone(word: str) -> bytes:
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def from_library(words: list[str]) -> list[bytes]:
+    def parted(words: list[str]) -> list[bytes]:
+        """Any words, as one text with a special token between them."""
         if not parting or not words:
             return [alone(w) for w in words]
         odd = {i for i, w in enumerate(words) if any(s in w for s in special)}
-        text = parting.join("" if i in odd else w for i, w in enumerate(words))
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == parting_id).tolist()
-        data, starts, ends = ids.tobytes(), [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), 4 * len(ids)]
-        out = [data[a:b] for a, b in zip(starts, ends, strict=True)]
+        ids = encoded(parting.join("" if i in odd else w for i, w in enumerate(words)))
+        out = cut_at(ids, np.flatnonzero(ids == parting_id), skip=1)
         for i in odd:
             out[i] = alone(words[i])
         return out
 
+    def letters(words: list[str]) -> list[bytes]:
+        """Words of letters only, with blanks between them: each is one unit of the tokenizer, which ends in a word-end token."""
+        ids = encoded(" ".join(words))
+        last = np.flatnonzero(ends_word[ids]) if suffix else np.empty(0, int)
+        # Letters that the tokenizer's normal form splits make more units than words.
+        return cut_at(ids, last[:-1] + 1, skip=0) if len(last) == len(words) else parted(words)
+
+    def encoded(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def cut_at(ids: np.ndarray, cuts: np.ndarray, skip: int) -> list[bytes]:
+        data = ids.tobytes()
+        starts, ends = [0, *(4 * (cuts + skip)).tolist()], [*(4 * cuts).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def from_library(words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for only, work in ((True, letters), (False, parted)):
+            some = [w for w in words if w.isalpha() is only]
+            for at in range(0, len(some), 4096):
+                out.update(zip(some[at : at + 4096], work(some[at : at + 4096]), strict=True))
+        return out
+
     def ids_of(words: list[str]) -> list[bytes]:
         """Through a plainer form that has the same ids: A-Z lowered, a mark after letters on its own."""
         plain = [(w.lower() if w.isascii() and "<|" not in w else w) for w in words]
         stems = [w[:-1] if w[-1:] in marks and w[:-1].isalpha() else w for w in plain]
         ids = {w: known.get(w) for w in {*stems, *marks}}
-        new = [w for w, x in ids.items() if x is None]
-        ids.update(zip(new, from_library(new), strict=True))
+        ids.update(from_library([w for w, x in ids.items() if x is None]))
         return [ids[s] if s is w else ids[s] + ids[w[-1]] for s, w in zip(stems, plain, strict=True)]
 
     marks = (".", ",")
-    known = Remembered(ids_of)
+    known = Remembered(ids_of, WORDS)
 
     def encode(texts: list[str | None]) -> list[bytes]:
         words = [_split(t) if t else [] for t in texts]
