@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The 29 characters that count as white space, beyond what Java's \s holds.
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
@@ -29,7 +30,7 @@ NOISE = r"[\^~`|{}\[\]<>\\]"
 ENDINGS = "(ing|ed|ly|s|tion)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
