@@ -4,8 +4,10 @@ A document's set holds the 64-bit hashes of its distinct ``WORDS``-word shingles
 filled in rounds: in round i < BINS each element is thrown into a random bin with value i + u, in round BINS + b every
 element goes to bin b, so that each coordinate is filled, and a bin keeps its smallest value. Usually the first one or two
 rounds fill all bins, which costs a few hashes per element in place of one per coordinate, with the concentration of
-independent MinHashes. Coordinates are grouped into bands of ``ROWS``; two sets of similarity 0.75 share no band with
-probability (1 - 0.75^4)^32 = 5e-6, more similar ones far less.
+independent MinHashes. The first coordinates form ``BANDS`` bands of ``ROWS``; two sets of similarity 0.75 share no band with
+probability (1 - 0.75^4)^32 = 5e-6, more similar ones far less. A bit of every coordinate estimates a candidate's
+similarity inside the join, before a row is made: pairs whose bits differ by over 4.5 standard deviations more than those
+of similarity 0.75 are let go (3e-6 of such pairs), which spares texts that only share a common passage.
 
 Equal sets are one class from the start, so that copies cost one row. In every bucket (classes that share a band) members
 are verified against one leader, links are merged to components, and this repeats with other leaders for buckets that
@@ -20,19 +22,27 @@ document, linked. Rows with a null doc_id are returned alone, with a null compon
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import WordHash, distinct_sorted, durable, map_slices, mix, signed, windows
+from inkgauge.llm.common import WordHash, distinct_sorted, durable, map_slices, mix, signed, windows, written
 from inkgauge.llm.components import smallest_reachable
 
-WORDS, BINS, ROWS = 5, 128, 4
+WORDS, BINS, BANDS, ROWS, BITS = 5, 1024, 32, 4, 1
 #: A link needs NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Rounds of leaders before the exhaustive comparison of what is left.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Ids up to which a list of classes is broadcast.
+BROADCAST_IDS = 1_000_000
+_WORDS64 = [f"s{i}" for i in range(BINS * BITS // 64)]
+_LINK = NUMERATOR / DENOMINATOR
+#: Mean and variance of differing bits at the similarity of a link: BITS / 2 of each coordinate that differs.
+_MEAN = BINS * (1 - _LINK) * BITS / 2
+MOST_DIFFERING = int(_MEAN + 4.5 * (BINS * _LINK * (1 - _LINK) * (BITS / 2) ** 2 + BINS * (1 - _LINK) * BITS / 4) ** 0.5)
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -43,7 +53,7 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """BINS coordinates: round number in the upper 8 bits, the hashed value below."""
+    """BINS coordinates: round number in the upper 11 bits, the hashed value below."""
     out = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
     if not len(elements):
         return out
@@ -51,30 +61,39 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     for first in range(0, BINS, step):  # small sets run several rounds at once; later rounds never beat earlier ones
         rounds = np.arange(first, min(first + step, BINS))
         h = mix(elements[None, :] ^ _SEEDS[rounds][:, None])
-        value = (h >> np.uint64(8)) | (rounds.astype(np.uint64) << np.uint64(56))[:, None]
-        np.minimum.at(out, ((h & np.uint64(0xFF)) % np.uint64(BINS)).astype(np.int64).ravel(), value.ravel())
+        value = (h >> np.uint64(11)) | (rounds.astype(np.uint64) << np.uint64(53))[:, None]
+        np.minimum.at(out, (h & np.uint64(BINS - 1)).astype(np.int64).ravel(), value.ravel())
         if out.max() < np.iinfo(np.uint64).max:
             return out
-    for b in np.flatnonzero(out == np.iinfo(np.uint64).max):
-        out[b] = (mix(elements ^ _SEEDS[BINS + b]) >> np.uint64(8)).min() | np.uint64((BINS + int(b)) << 56)
+    left = np.flatnonzero(out == np.iinfo(np.uint64).max)
+    smallest = np.full(len(left), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(elements), 256):
+        smallest = np.minimum(smallest, mix(elements[None, at : at + 256] ^ _SEEDS[BINS + left][:, None]).min(axis=1))
+    out[left] = (smallest >> np.uint64(11)) | ((BINS + left).astype(np.uint64) << np.uint64(53))
     return out
 
 
 def bands(coordinates: np.ndarray) -> np.ndarray:
     """A hash for each band, the band's number mixed in."""
-    rows = coordinates.reshape(-1, ROWS)
+    rows = coordinates[: BANDS * ROWS].reshape(-1, ROWS)
     h = np.arange(1, len(rows) + 1, dtype=np.uint64)
     for i in range(ROWS):
         h = mix(h ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
     return h
 
 
+def bits(coordinates: np.ndarray) -> np.ndarray:
+    """BITS bits of each coordinate, packed into 64-bit words."""
+    b = (mix(coordinates)[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(b.astype(np.uint8).ravel()).view(np.uint64)
+
+
 def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set, null if empty), bands."""
+    """doc_id, n_shingles, set_key (digest of the set, null if empty), bands, bits."""
 
     def work():
         words = WordHash()
@@ -83,12 +102,16 @@ def sketches(docs: DataFrame) -> DataFrame:
             out = []
             for i, text in zip(ids, texts, strict=True):
                 s = shingles(words.of(_words(text)))
-                out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signed(bands(sketch(s)))) if len(s) else (i, 0, None, None))
+                if len(s):
+                    c = sketch(s)
+                    out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signed(bands(c)), signed(bits(c))))
+                else:
+                    out.append((i, 0, None, None, None))
             return [list(x) for x in zip(*out, strict=True)]
 
         return run
 
-    return map_slices(docs, "doc_id long, n_shingles long, set_key binary, bands array<long>", work, ["doc_id", "text"])
+    return map_slices(docs, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>", work, ["doc_id", "text"])
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -105,15 +128,17 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return map_slices(docs, "class long, elements array<long>", work, ["class", "text"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of those candidate pairs (a, n_a, b, n_b) that link; the sets are made anew from the texts of their documents."""
+def _of(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """``rows`` whose ``on`` is in ``wanted`` (distinct): broadcast up to BROADCAST_IDS, about 16 bytes each, else a shuffled join."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, on, "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of those candidate pairs (a, n_a, b, n_b) that link by their full sets."""
     sizes = (F.least("n_a", "n_b") * DENOMINATOR) >= (F.greatest("n_a", "n_b") * NUMERATOR)
-    pairs = durable(pairs.where(sizes).distinct())
-    if pairs.isEmpty():
-        return pairs.select("a", "b")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = docs.select(F.col("doc_id").alias("class"), "text").join(needed, "class")
-    sets = sets_of(texts)
+    pairs = written(pairs.where(sizes).distinct())
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    sets = _of(sets, needed, "class")
     left = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a")), "a")
     both = left.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -126,20 +151,26 @@ def link_components(docs: DataFrame) -> DataFrame:
     rows = durable(sketches(docs))
     classes = durable(
         rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
     )
-    members = classes.select("class", "n", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    members = durable(members.join(buckets, "band"))
-    links = _same_documents(rows)
+    members = classes.select("class", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(members.join(buckets, "band"))
+    # A class whose buckets are large is near the middle of its group: the text that others were made from.
+    central = members.groupBy("class").agg(F.sum("size").alias("weight"))
+    traits = classes.select("class", "n", "bands", *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(_WORDS64)])
+    members = written(members.drop("size").join(central, "class").join(traits, "class"))
+    # Only classes that share a bucket are ever compared: their sets are made once more from the texts and kept.
+    wanted = written(members.select("class").distinct())
+    sets = written(sets_of(_of(docs.select(F.col("doc_id").alias("class"), "text"), wanted, "class")))
+    links = written(_same_documents(rows))
     roots = smallest_reachable(links)
     for turn in range(LEADER_ROUNDS + 1):
         open_members = _open(members, roots)
         if open_members.isEmpty():
             break
         pairs = _leader_pairs(open_members, turn) if turn < LEADER_ROUNDS else _remaining_pairs(open_members)
-        found = verified(pairs, docs)
-        links = durable(links.unionByName(found))
+        links = written(links.unionByName(verified(pairs, sets)))
         roots = smallest_reachable(links)
     out = rows.join(classes.select("set_key", "class"), "set_key", "left")
     return out.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
@@ -151,37 +182,53 @@ def _same_documents(rows: DataFrame) -> DataFrame:
     keyed = rows.where("set_key is not null and doc_id is not null")
     least = keyed.groupBy("set_key").agg(F.min("doc_id").alias("class"))
     several = keyed.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id")
-    return durable(keyed.join(several, "doc_id").join(least, "set_key").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b").distinct())
+    return written(keyed.join(several, "doc_id").join(least, "set_key").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b").distinct())
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their component, of buckets that hold several components."""
-    now = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("band", "class", "n", F.coalesce("root", "class").alias("root"))
-    mixed = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    return durable(now.join(mixed, "band"))
+    """Members with their component and the bucket's largest one, of buckets that hold several components."""
+    now = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("band", "class", "n", "weight", "bands", *_WORDS64, F.coalesce("root", "class").alias("root"))
+    sizes = now.groupBy("band", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("lo < hi").select("band", "largest")
+    return written(now.join(mixed, "band"))
 
 
 def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """In the first turn each class with the smallest class of its buckets; then with a leader drawn by hash in each bucket."""
+    """A pair for each class: with the weightiest leader of its buckets.
+
+    First a bucket's leader is its weightiest member, then the weightiest of its largest component, for members outside it,
+    then the weightiest outside it.
+    """
+    rank = F.struct("weight", F.negative("class").alias("order"))
     if turn == 0:
-        leaders = durable(members.groupBy("band").agg(F.min("class").alias("b")))
-        best = members.join(leaders, "band").groupBy("class", "n").agg(F.min("b").alias("b")).where("class <> b")
-        sizes = members.select(F.col("class").alias("b"), F.col("n").alias("n_b")).distinct()
-        return best.join(sizes, "b").select(F.col("class").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
-    draw = F.xxhash64("class", F.lit(turn))
-    leaders = durable(members.groupBy("band").agg(F.min_by(F.struct("class", "n", "root"), draw).alias("leader")))
-    return members.join(leaders, "band").where("root <> leader.root").select(
-        F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("leader.class").alias("b"), F.col("leader.n").alias("n_b"))
+        from_ = members
+    elif turn % 2:
+        from_ = members.where("root = largest")
+    else:
+        from_ = members.where("root <> largest")
+    lead = F.struct("weight", "class", "n", "root", *_WORDS64)
+    leaders = written(from_.groupBy("band").agg(F.max_by(lead, rank).alias("leader")))
+    asked = members.join(leaders, "band").where("root <> leader.root").where(_plausible([F.col(w) for w in _WORDS64], [F.col(f"leader.{w}") for w in _WORDS64]))
+    best = asked.groupBy("class", "n").agg(F.max(F.struct("leader.weight", "leader.class", "leader.n")).alias("leader"))
+    return best.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("leader.class").alias("b"), F.col("leader.n").alias("n_b"))
+
+
+def _plausible(x: list[Column], y: list[Column]) -> Column:
+    """Whether two sketches' bits may be those of a link."""
+    return reduce(lambda a, b: a + b, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)]) <= MOST_DIFFERING
 
 
 def _remaining_pairs(members: DataFrame) -> DataFrame:
     """Members outside a bucket's largest component with all members of other components; the largest isn't compared with itself."""
-    sizes = members.groupBy("band", "root").agg(F.count("*").alias("size"))
-    largest = durable(sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("largest")))
-    odd = members.join(largest, "band").where("root <> largest").select("band", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    other = members.select("band", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    side = lambda rows, x: rows.select("band", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"), (F.col("root") == F.col("largest")).alias(f"{x}_in_largest"), F.col("bands").alias(f"bands_{x}"), *[F.col(w).alias(f"{x}_{w}") for w in _WORDS64])
+    odd, other = side(members.where("root <> largest"), "a"), side(members, "b").withColumnRenamed("band", "band_b")
     fits = (F.least("n_a", "n_b") * DENOMINATOR) >= (F.greatest("n_a", "n_b") * NUMERATOR)
-    return odd.join(other, "band").where((F.col("root_a") != F.col("root_b")) & fits).select("a", "n_a", "b", "n_b").distinct()
+    # Pairs of two odd members would meet twice.
+    once = (F.col("a") < F.col("b")) | F.col("b_in_largest")
+    near = _plausible([F.col(f"a_{w}") for w in _WORDS64], [F.col(f"b_{w}") for w in _WORDS64])
+    # A pair that shares several bands is made in the first of them alone.
+    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
+    return odd.join(other, (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & once & fits & near & first).select("a", "n_a", "b", "n_b")
 
 
 def keep_smallest(docs: DataFrame) -> DataFrame:
