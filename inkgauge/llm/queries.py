@@ -110,6 +110,37 @@ WHERE (n_turns, digest) NOT IN (SELECT (position, digest) FROM prefixes WHERE po
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], ' '))) END AS s FROM w),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b USING (e) WHERE a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links
+  UNION SELECT r.x, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.y = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(r.low, s.doc_id)) AS component_id, s.doc_id <= coalesce(r.low, s.doc_id) AS kept
+FROM sets s LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) r ON r.x = s.doc_id
+"""
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+keys AS (SELECT doc_id, list_transform(generate_series(1, len(words) - 49), lambda i: md5(array_to_string(words[i:i + 49], ' '))) AS k FROM w WHERE len(words) >= 50),
+windows AS (SELECT doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS s FROM keys),
+firsts AS (SELECT k, min(doc_id) AS f FROM windows GROUP BY k),
+covered AS (SELECT DISTINCT doc_id, s + o AS p FROM windows JOIN firsts USING (k), range(50) t(o) WHERE f < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+kept AS (
+  SELECT placed.doc_id, count(*) AS n, count(covered.p) AS gone, string_agg(word, ' ' ORDER BY placed.p) FILTER (WHERE covered.p IS NULL) AS t
+  FROM placed LEFT JOIN covered ON covered.doc_id = placed.doc_id AND covered.p = placed.p GROUP BY placed.doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP2_SQL = r"""
 WITH texts AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
@@ -164,4 +195,6 @@ FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_url_filters": OP9_SQL, "op10_chat_formatting": OP10_SQL}
+    return {
+        "op1_minhash_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_url_filters": OP9_SQL, "op10_chat_formatting": OP10_SQL,
+    }
