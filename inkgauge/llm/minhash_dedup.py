@@ -137,7 +137,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of those candidate pairs (a, n_a, b, n_b) that link by their full sets."""
     sizes = (F.least("n_a", "n_b") * DENOMINATOR) >= (F.greatest("n_a", "n_b") * NUMERATOR)
     pairs = written(pairs.where(sizes).distinct())
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    ends = pairs.select(F.col("a").alias("class")).distinct().unionByName(pairs.select(F.col("b").alias("class")).distinct())
+    needed = written(ends.distinct())
     sets = _of(sets, needed, "class")
     left = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a")), "a")
     both = left.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b")), "b")
