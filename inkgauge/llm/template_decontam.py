@@ -113,7 +113,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_hits (distinct item windows hit), n_windows, before the least number is asked for."""
     items = benchmark_windows(benchmark)
     n_items = items.count()
-    widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most WIDTH values
+    widths = [r["width"] for r in items.select("width").distinct().collect()] or [WIDTH]  # at most WIDTH values
     keys = items.select("width", "hash").distinct()
     keys = F.broadcast(keys) if n_items <= BROADCAST_WINDOWS else keys
     # Hits are few; only their documents are prepared again, to compare the windows themselves.
