@@ -115,3 +115,22 @@ def test_streaming_bins(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted((r.bin_index, r.n, r.acceptable) for r in spark.table("bins").collect())
     assert got == [(2, 2, 1), (10, 1, 1)] == sorted((r.bin_index, r.n, r.acceptable) for r in windowed_bins(rows).collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from inkgauge.__main__ import main
+
+    (tmp_path / "images").mkdir()
+    for i in range(6):
+        (tmp_path / "images" / f"s{i}.png").write_bytes(b"x")
+    at = lambda *p: str(tmp_path.joinpath(*p))
+    assert main(["recognise", "--input", at("images"), "--output", at("records")], spark) == 0
+    (tmp_path / "truth.jsonl").write_text("\n".join(json.dumps({"script_id": f"s{i}", "ground_truth_text": "Sample text. Second line." if i else "other"}) for i in range(6)))
+    (tmp_path / "config.yaml").write_text("evaluation: {candidate_thresholds: [0.9, 0.95]}")
+    assert main(["benchmark", "--records", at("records", "*", "*.txt"), "--dataset", at("truth.jsonl"), "--output_csv", at("csv"), "--output_json", at("json")], spark) == 0
+    assert main(["analyse", "--benchmark_csv", at("csv"), "--output_dir", at("out"), "--bins", "5"], spark) == 0
+    assert main(["calibrate", "--benchmark_csv", at("csv"), "--output_model", at("model")], spark) == 0
+    assert main(["route", "--benchmark_csv", at("csv"), "--config", at("config.yaml"), "--output_csv", at("routes")], spark) == 0
+    assert spark.read.option("header", True).csv(at("routes")).count() == 2 and spark.read.option("header", True).csv(at("out", "confidence_bins")).count() == 5
+    assert S.calibrator(spark, at("model")).first().is_fitted
+    assert main(["benchmark", "--records", at("records"), "--dataset", at("none.txt"), "--output_csv", at("x"), "--output_json", at("y")], spark) == 1
