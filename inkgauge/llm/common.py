@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A Python worker handles at most so many rows, and about so many bytes, at once.
 SLICE, SLICE_BYTES = 1024, 2_000_000
 #: Entries of one generation of a worker's word cache; two generations are held.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 def durable(df: DataFrame) -> DataFrame:

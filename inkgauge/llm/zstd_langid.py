@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_slices
+from inkgauge.llm.common import map_slices, slices
 
 #: Bounds of the learning sample: at most about 4 * 160 * 2 kB for four languages.
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 160, 2048, 112_640
@@ -107,14 +107,15 @@ def keep_identified(docs: DataFrame, *, margin: float = MARGIN) -> DataFrame:
     """``docs`` without the rows that identification rejects, all columns kept. Learns as ``classify_held_out`` does."""
     dictionaries = learn(docs.where(~held_out_mask(F.col("doc_id"))))
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    names, schema = docs.columns, docs.schema
+    at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
         import pyarrow as pa
 
         classifier = Classifier(shared.value)
         for batch in batches:
-            found = (classifier.predict(t.as_py()) for t in batch.column(names.index("text")))
-            yield batch.filter(pa.array([x != "und" and s >= margin for x, s in found], pa.bool_()))
+            for part in slices(batch):
+                found = (classifier.predict(t) for t in part.column(at).to_pylist())
+                yield part.filter(pa.array([x != "und" and s >= margin for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
