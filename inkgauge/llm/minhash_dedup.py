@@ -175,7 +175,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         roots = smallest_reachable(links)
     out = rows.join(classes.select("set_key", "class"), "set_key", "left")
     return out.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class", "doc_id")).alias("component_id"))
 
 
 def _same_documents(rows: DataFrame) -> DataFrame:
@@ -238,4 +238,4 @@ def keep_smallest(docs: DataFrame) -> DataFrame:
     Of rows that share this doc_id all stay. Rows with a null doc_id or an empty set stay.
     """
     dropped = link_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -308,6 +308,14 @@ def test_nulls_repeated_rows_empty_tables_and_clashing_columns(spark, name):
     assert RUNS[name](docs.limit(0)).collect() == []
 
 
+def test_rows_without_an_id_and_of_one_id(spark):
+    docs = frame(spark, ODD + [(9, ODD[0][1])])
+    found = [(r.doc_id, r.component_id) for r in minhash_dedup.link_components(docs).collect()]
+    assert sorted(found, key=str) == sorted([(None, None), (None, None), (1, 1), (1, 1), (1, 1), (2, 2), (3, 3), (9, 9)], key=str)
+    lines = {r.doc_id: r.n_dropped for r in cuckoo_lines.dedup_lines(docs).where("doc_id is not null").collect()}
+    assert lines == {1: 0, 2: 0, 3: 0, 9: 0}
+
+
 def test_oracles_of_corpus_queries_are_registered():
     assert {"op2_decontamination", "op6_line_dedup", "op9_url_filters", "op10_chat_formatting"} <= set(entry.oracle_sql())
     assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")) == list(range(1, 11))
