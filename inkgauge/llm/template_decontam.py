@@ -35,14 +35,22 @@ UNITS = (
 _NAME = "\x01"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased tokens; names start with _NAME."""
+def marked(text: Column) -> Column:
+    """The text with names marked, first words of them."""
     t = F.translate(F.coalesce(text, F.lit("")), _NAME, " ")
-    t = F.regexp_replace(t, r"([\p{Ll}\p{N},;]) (\p{Lu}\p{Ll}+)", f"$1 {_NAME}$2")
+    return F.regexp_replace(t, r"([\p{Ll}\p{N},;]) (\p{Lu}\p{Ll}+)", f"$1 {_NAME}$2")
+
+
+def tokens(t: Column) -> Column:
+    """Lower-cased tokens of a marked text; names start with _NAME. Texts without names or digits skip what concerns them."""
+    named = t
     for _ in range(2):  # second and third words of a name
-        t = F.regexp_replace(t, rf"({_NAME}\p{{Lu}}\p{{Ll}}+) (\p{{Lu}}\p{{Ll}}+)", f"$1 {_NAME}$2")
+        named = F.regexp_replace(named, rf"({_NAME}\p{{Lu}}\p{{Ll}}+) (\p{{Lu}}\p{{Ll}}+)", f"$1 {_NAME}$2")
+    t = F.when(F.contains(t, F.lit(_NAME)), named).otherwise(t)
+    numbered = t
     for _ in range(2):  # marks inside numbers
-        t = F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1$2")
+        numbered = F.regexp_replace(numbered, r"([0-9])[.,]([0-9])", "$1$2")
+    t = F.when(t.rlike(r"[0-9][.,][0-9]"), numbered).otherwise(t)
     return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{_NAME}]+"), lambda w: w != "")
 
 
@@ -55,21 +63,29 @@ def forms(words: Column, *, names: bool) -> Column:
     bare = lambda w: F.ltrim(w, F.lit(_NAME))
 
     def form(w: Column, i: Column) -> Column:
-        out = F.when(_is_number(w), "<num>").when(w.isin(UNITS) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False)), "<unit>")
+        out = F.when(_is_number(w), "<num>").when(F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False)) & w.isin(UNITS), "<unit>")
         return (out.when(F.ascii(w) == 1, "<name>") if names else out).otherwise(w if names else bare(w))
 
     return F.transform(words, form)
 
 
+def _hash(at, width: int) -> Column:
+    """Hash of a window from its tokens' hashes, at(0) to at(width - 1)."""
+    return F.xxhash64(*[at(k) for k in range(width)])
+
+
 def _hashes(form: Column, width: int) -> Column:
-    return F.when(F.size(form) >= width, F.transform(F.sequence(F.lit(1), F.size(form) - width + 1), lambda i: F.xxhash64(F.slice(form, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    """Window hashes of an array of token hashes."""
+    return F.when(F.size(form) >= width, F.transform(F.sequence(F.lit(0), F.size(form) - width), lambda i: _hash(lambda k: F.get(form, i + k), width))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _prepared(rows: DataFrame, key: str) -> DataFrame:
-    """key, words, plain and named forms. named is null where no name occurs, then equal to plain."""
-    rows = rows.select(key, tokens(F.col("text")).alias("words"))
-    has_name = F.exists("words", lambda w: F.ascii(w) == 1)
-    return rows.select(key, "words", forms(F.col("words"), names=False).alias("plain"), F.when(has_name, forms(F.col("words"), names=True)).alias("named"))
+def _prepared(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, words, plain and named forms. named is null where no name occurs, then equal to plain."""
+    rows = rows.select(*keys, marked(F.col("text")).alias("__t"))
+    rows = rows.select(*keys, tokens(F.col("__t")).alias("words"), F.contains("__t", F.lit(_NAME)).alias("__names"), F.col("__t").rlike("[0-9]").alias("__digits"))
+    # Most texts have neither: their forms are their words.
+    plain = F.when(F.col("__names") | F.col("__digits"), forms(F.col("words"), names=False)).otherwise(F.col("words"))
+    return rows.select(*keys, "words", plain.alias("plain"), F.when(F.col("__names"), forms(F.col("words"), names=True)).alias("named"))
 
 
 def _placed(hashes: Column, width: int) -> Column:
@@ -78,6 +94,8 @@ def _placed(hashes: Column, width: int) -> Column:
 
 def _window_hashes(prepared: DataFrame, key: str, widths: list[int]) -> DataFrame:
     """key, width, hash, place (from 1) of each window in its one or two forms."""
+    token = lambda w: F.xxhash64(w)
+    prepared = prepared.select(key, F.transform("plain", token).alias("plain"), F.transform("named", token).alias("named"))
     parts = []
     for width in widths:
         plain = _hashes(F.col("plain"), width)
@@ -95,7 +113,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     rows = prepared.select("item_id", "words", "plain", F.coalesce("named", "plain").alias("named"), width.alias("width"), F.explode(F.sequence(F.lit(1), F.size("words") - width + 1)).alias("place"))
     rows = rows.select("item_id", "width", "place", *[F.slice(c, "place", "width").alias(c) for c in ("words", "plain", "named")])
     totals = rows.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("n_windows"))
-    rows = rows.select("*", F.explode(F.array_distinct(F.array(F.xxhash64("plain"), F.xxhash64("named")))).alias("hash"))
+    token = lambda form: lambda k: F.xxhash64(F.get(form, F.lit(k)))
+    hashes = F.lit(None).cast("array<bigint>")
+    for w in range(MIN_TOKENS, WIDTH + 1):
+        hashes = F.when(F.col("width") == w, F.array(*[_hash(token(form), w) for form in ("plain", "named")])).otherwise(hashes)
+    rows = rows.select("*", F.explode(F.array_distinct(hashes)).alias("hash"))
     return durable(rows.join(totals, F.col("item_id").eqNullSafe(F.col("of_item"))).drop("of_item"))
 
 
@@ -120,7 +142,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = durable(_window_hashes(_prepared(docs, "doc_id"), "doc_id", widths).join(keys, ["width", "hash"], "left_semi").select("doc_id", "width", "hash", "place"))
     hit_docs = places.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set(F.struct("width", "hash", "place")).alias("at"))
     found = docs.select("doc_id", "text").join(hit_docs, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("doc_id", "text", "at")
-    found = _prepared_with(found).select("doc_id", "words", "plain", F.coalesce("named", "plain").alias("named"), F.explode("at").alias("w"))
+    found = _prepared(found, "doc_id", "at").select("doc_id", "words", "plain", F.coalesce("named", "plain").alias("named"), F.explode("at").alias("w"))
     found = found.select("doc_id", "w.width", "w.hash", *[F.slice(c, F.col("w.place"), F.col("w.width")).alias(f"d_{c}") for c in ("words", "plain", "named")])
     items = F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items
     both = found.join(items, ["width", "hash"])
@@ -131,11 +153,6 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return both.where(ok).groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("place").alias("n_hits")).select("doc_id", "item_id", "n_hits", "n_windows")
 
 
-def _prepared_with(rows: DataFrame) -> DataFrame:
-    rows = rows.select("doc_id", "at", tokens(F.col("text")).alias("words"))
-    return rows.select("doc_id", "at", "words", forms(F.col("words"), names=False).alias("plain"), forms(F.col("words"), names=True).alias("named"))
-
-
 def least_hits(n_windows: Column) -> Column:
     return F.least(F.lit(RUN_HITS), F.ceil(n_windows / 2))
 
