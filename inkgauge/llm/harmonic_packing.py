@@ -25,8 +25,8 @@ from inkgauge.llm.common import Remembered, durable, map_slices
 
 #: Pieces shorter than this are tails of documents: a class for each length.
 TAIL = 64
-#: Words of one generation of the encoder's memory, about 200 bytes each.
-WORDS = 500_000
+#: Words of one generation of the encoder's memory, up to 640 bytes each as measured.
+WORDS = 350_000
 
 
 @functools.lru_cache(maxsize=1)
