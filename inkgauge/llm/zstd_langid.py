@@ -4,8 +4,10 @@ Learning takes a bounded, documented sample: of each language's labelled documen
 doc_id, about ``SAMPLE_DOCS`` of them and at most ``DOC_BYTES`` bytes from the middle of each, joined to a dictionary of
 at most ``DICT_BYTES``. All dictionaries get the same size, so none wins by length. Predictions read whole texts.
 
-Each text is compressed once per language, short ones at a higher level, which finds shorter matches in the dictionary. The
-score is 1 - smallest / second smallest of the sizes net of the frame's fixed bytes. A text is rejected if its score is below
+Each text is compressed once per language, short ones at a higher level, which finds shorter matches in the dictionary.
+Texts of over ``BLOCK_BYTES`` are compressed whole in equal blocks of at most that size, each from the dictionary anew, and
+the sizes added up: what a dictionary saves is bounded, so in one piece the score would fall with the length. The
+score is 1 - smallest / second smallest of the sizes net of the frames' fixed bytes. A text is rejected if its score is below
 ``margin``, or if it has no letter (``und``, score 0). Ties go to the alphabetically first language with score 0 and so are rejected.
 
 Null or empty texts: ``und``. Rows with a null lang or doc_id teach nothing. Repeated rows are each predicted; a learner
@@ -25,6 +27,8 @@ SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 160, 2048, 112_640
 MAX_LANGS = 64
 #: Texts of fewer bytes are compressed at the second, higher level.
 SHORT_BYTES, LEVEL, SHORT_LEVEL = 1024, 9, 12
+#: Longer texts are compressed in blocks of at most so many bytes.
+BLOCK_BYTES = 16_384
 MARGIN = 0.005
 
 
@@ -74,7 +78,9 @@ class Classifier:
         if not text or not self.langs or not any(c.isalpha() for c in text):
             return "und", 0.0
         data = text.encode()
-        sizes = sorted((max(1, len(c.compress(data)) - 9), lang) for c, lang in zip(self.fine if len(data) < SHORT_BYTES else self.fast, self.langs, strict=True))
+        step = -(-len(data) // -(-len(data) // BLOCK_BYTES))
+        blocks = [data[at : at + step] for at in range(0, len(data), step)]
+        sizes = sorted((max(1, sum(len(c.compress(b)) - 9 for b in blocks)), lang) for c, lang in zip(self.fine if len(data) < SHORT_BYTES else self.fast, self.langs, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]

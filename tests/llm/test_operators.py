@@ -195,6 +195,17 @@ def test_language_id(spark):
     assert kept.schema == docs.schema and kept.count() > 0.97 * docs.count()
 
 
+def test_language_id_scores_long_texts_as_short_ones(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    classifier = zstd_langid.Classifier(zstd_langid.learn(docs.where(~zstd_langid.held_out_mask(F.col("doc_id")))))
+    for lang in ("en", "fr"):
+        texts = [r.text for r in docs.where(zstd_langid.held_out_mask(F.col("doc_id")) & (F.col("lang") == lang)).orderBy("doc_id").collect() if len(r.text) > 500]
+        whole = "\n".join(texts)
+        scores = [classifier.predict((whole * (n // len(whole) + 1))[:n]) for n in (100_000, 1_000_000, 4_000_000)]
+        assert [x for x, _ in scores] == [lang] * 3
+        assert min(s for _, s in scores) > 0.8 * scores[0][1] > 10 * zstd_langid.MARGIN
+
+
 def test_quality_counts_and_verdicts(spark, corpus):
     junk = [(400_000 + i, " ".join(f"w{i}{k}###" for k in range(40))) for i in range(6)]
     clean = [(500_000 + i, " ".join(f"plain{i}{k}" for k in range(30 + i))) for i in range(120)]
