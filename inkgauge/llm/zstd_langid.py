@@ -2,7 +2,13 @@
 
 Learning takes a bounded, documented sample: of each language's labelled documents those with the smallest hash of
 doc_id, about ``SAMPLE_DOCS`` of them and at most ``DOC_BYTES`` bytes from the middle of each, joined to a dictionary of
-at most ``DICT_BYTES``. All dictionaries get the same size, so none wins by length. Predictions read whole texts.
+at most ``DICT_BYTES``. Predictions read whole texts.
+
+Languages are only compared by dictionaries of one size, so none wins by length, and a small one does not cut the others:
+in the first round languages of similar sizes, the largest, compete, in each further round also those of half the size or
+less, against the others' dictionaries cut to theirs. A language that joins in a round takes the text if it wins the round
+by the margin and by no lower score than was found before; else what was found before stands. Below ``LEAST_BYTES`` there is one last round, in which still smaller
+dictionaries stay as they are: such languages win only texts that are much like the little that was learned.
 
 Each text is compressed once per language, short ones at a higher level, which finds shorter matches in the dictionary.
 Texts of over ``BLOCK_BYTES`` are compressed whole in equal blocks of at most that size, each from the dictionary anew, and
@@ -29,6 +35,8 @@ MAX_LANGS = 64
 SHORT_BYTES, LEVEL, SHORT_LEVEL = 1024, 9, 12
 #: Longer texts are compressed in blocks of at most so many bytes.
 BLOCK_BYTES = 16_384
+#: Dictionaries are not cut below this size.
+LEAST_BYTES = 4096
 MARGIN = 0.005
 
 
@@ -55,35 +63,54 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     for lang, _ in sizes:
         parts = [bytes(r["part"]) for r in drawn if r["lang"] == lang][:SAMPLE_DOCS]
         out[lang] = b"\n".join(reversed(parts))
-    least = min(len(x) for x in out.values() if x) if any(out.values()) else 0
-    return {k: v[-min(max(least, 4096), DICT_BYTES):] for k, v in sorted(out.items()) if v}
+    return {k: v[-DICT_BYTES:] for k, v in sorted(out.items()) if v}
+
+
+def rounds(sizes: dict[str, int]) -> list[tuple[int, set[str], list[str]]]:
+    """(size, languages that join, all languages so far) of each round, from the dictionaries' sizes."""
+    out: list[tuple[int, set[str], list[str]]] = []
+    joined: list[str] = []
+    left = sorted(sizes, key=lambda x: (-sizes[x], x))
+    while left:
+        top = sizes[left[0]]
+        group = [x for x in left if sizes[x] > top // 2 or top <= LEAST_BYTES]
+        if not joined and len(group) == 1 and len(left) > 1:  # nothing to compare with: the next size joins
+            group = [x for x in left if sizes[x] > sizes[left[1]] // 2 or sizes[left[1]] <= LEAST_BYTES]
+        left = left[len(group) :]
+        joined = joined + group
+        out.append((max(min(sizes[x] for x in group), LEAST_BYTES), set(group), sorted(joined)))
+    return out
 
 
 class Classifier:
-    """Compressors for each language; made once per task."""
+    """Compressors of each round and language; made once per task."""
 
-    def __init__(self, dictionaries: dict[str, bytes]) -> None:
+    def __init__(self, dictionaries: dict[str, bytes], margin: float = MARGIN) -> None:
         import zstandard as z
 
-        self.langs = sorted(dictionaries)
-        self.fast, self.fine = [], []
-        for lang in self.langs:
-            content = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            for level, into in ((LEVEL, self.fast), (SHORT_LEVEL, self.fine)):
-                own = z.ZstdCompressionDict(content.as_bytes(), dict_type=z.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(level=level)
-                into.append(z.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.margin, self.rounds = margin, []
+        for size, new, langs in rounds({k: len(v) for k, v in dictionaries.items()}):
+            fast, fine = [], []
+            for lang in langs:
+                for level, into in ((LEVEL, fast), (SHORT_LEVEL, fine)):
+                    own = z.ZstdCompressionDict(dictionaries[lang][-size:], dict_type=z.DICT_TYPE_RAWCONTENT)
+                    own.precompute_compress(level=level)
+                    into.append(z.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.rounds.append((new, langs, fast, fine))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(c.isalpha() for c in text):
+        if not text or not self.rounds or not any(c.isalpha() for c in text):
             return "und", 0.0
         data = text.encode()
         step = -(-len(data) // -(-len(data) // BLOCK_BYTES))
         blocks = [data[at : at + step] for at in range(0, len(data), step)]
-        sizes = sorted((max(1, sum(len(c.compress(b)) - 9 for b in blocks)), lang) for c, lang in zip(self.fine if len(data) < SHORT_BYTES else self.fast, self.langs, strict=True))
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        best = None
+        for new, langs, fast, fine in self.rounds:
+            sizes = sorted((max(1, sum(len(c.compress(b)) - 9 for b in blocks)), lang) for c, lang in zip(fine if len(data) < SHORT_BYTES else fast, langs, strict=True))
+            found = sizes[0][1], 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
+            if best is None or (found[0] in new and found[1] >= max(self.margin, best[1])):
+                best = found
+        return best
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, margin: float = MARGIN) -> DataFrame:
@@ -92,7 +119,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, margin: float =
     shared = spark.sparkContext.broadcast(dictionaries)
 
     def work():
-        classifier = Classifier(shared.value)
+        classifier = Classifier(shared.value, margin)
 
         def run(ids: list, texts: list) -> list:
             found = [classifier.predict(t) for t in texts]
@@ -118,7 +145,7 @@ def keep_identified(docs: DataFrame, *, margin: float = MARGIN) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        classifier = Classifier(shared.value)
+        classifier = Classifier(shared.value, margin)
         for batch in batches:
             for part in slices(batch):
                 found = (classifier.predict(t) for t in part.column(at).to_pylist())

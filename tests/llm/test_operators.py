@@ -206,6 +206,36 @@ def test_language_id_scores_long_texts_as_short_ones(spark):
         assert min(s for _, s in scores) > 0.8 * scores[0][1] > 10 * zstd_langid.MARGIN
 
 
+def test_rare_languages_do_not_cut_the_others_dictionaries(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    held = [r for r in docs.where(zstd_langid.held_out_mask(F.col("doc_id"))).collect() if r.text and any(c.isalpha() for c in r.text)]
+    rest = docs.where(~zstd_langid.held_out_mask(F.col("doc_id")))
+
+    def judged(labelled):
+        dictionaries = zstd_langid.learn(labelled)
+        classifier = zstd_langid.Classifier(dictionaries)
+        return dictionaries, [(r.lang, *classifier.predict(r.text)) for r in held]
+
+    whole, found = judged(rest)
+    fifth, with_fifth = judged(rest.unionAll(spark.createDataFrame([(10**9, "the quick thing is one x", "xx")], rest.schema)))
+    assert {k: len(v) for k, v in fifth.items()} == {k: len(v) for k, v in whole.items()} | {"xx": 24}
+    refused = lambda rows: sum(s < zstd_langid.MARGIN for _, _, s in rows)
+    assert refused(with_fifth) <= refused(found) + 1
+    assert sum(a != b for (_, a, _), (_, b, _) in zip(found, with_fifth, strict=True)) <= 2
+    few = rest.where("lang <> 'es'").unionAll(rest.where("lang = 'es' and length(text) > 1500").orderBy("doc_id").limit(4))
+    rare, seen = judged(few)
+    assert len(rare["es"]) < len(rare["en"]) / 2
+    assert np.mean([p == "es" for lang, p, _ in seen if lang == "es"]) > 0.75
+
+
+def test_rounds_of_dictionary_sizes():
+    assert zstd_langid.rounds({}) == []
+    assert zstd_langid.rounds({"a": 90, "b": 5}) == [(4096, {"a", "b"}, ["a", "b"])]
+    assert zstd_langid.rounds({"a": 100_000, "b": 60_000, "c": 20_000, "d": 9, "e": 3000}) == [
+        (60_000, {"a", "b"}, ["a", "b"]), (20_000, {"c"}, ["a", "b", "c"]), (4096, {"d", "e"}, ["a", "b", "c", "d", "e"])]
+    assert zstd_langid.rounds({"a": 100_000, "b": 20_000, "c": 15_000}) == [(15_000, {"a", "b", "c"}, ["a", "b", "c"])]
+
+
 def test_quality_counts_and_verdicts(spark, corpus):
     junk = [(400_000 + i, " ".join(f"w{i}{k}###" for k in range(40))) for i in range(6)]
     clean = [(500_000 + i, " ".join(f"plain{i}{k}" for k in range(30 + i))) for i in range(120)]
