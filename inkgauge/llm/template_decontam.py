@@ -4,8 +4,8 @@ Texts become tokens (runs of letters, marks and digits, lower-cased). Numbers, u
 (capitalised words inside a sentence) become typed placeholders; the replaced words stay beside them as slot values.
 Windows of ``WIDTH`` tokens are hashed in two forms: with names replaced, and with names as words, so that a text in capital
 letters still matches. Document windows are hash-joined with the benchmark's; a hit counts if both windows' placeholders
-and words are equal, at least half the tokens are words, and the slots are consistent: equal values on one side are equal
-on the other, as in a question asked again with other numbers and names. A document is contaminated by an item if at
+and words are equal, and either the replaced words are equal too, or at least half the tokens are words and the slots are
+consistent: equal values on one side are equal on the other, as in a question asked again with other numbers and names. A document is contaminated by an item if at
 least ``least_hits`` of the item's windows are hit: half of them, or ``RUN_HITS``, the windows of 13 tokens.
 
 Items of fewer than ``WIDTH`` tokens are one window; those of fewer than ``MIN_TOKENS`` are too short to be recognised and match
@@ -131,6 +131,10 @@ def _literal(form: Column) -> Column:
     return 2 * F.size(F.filter(form, lambda w: ~w.isin("<num>", "<unit>", "<name>"))) >= F.size(form)
 
 
+def _bare(words: Column) -> Column:
+    return F.transform(words, lambda w: F.ltrim(w, F.lit(_NAME)))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_hits (distinct item windows hit), n_windows, before the least number is asked for."""
     items = benchmark_windows(benchmark)
@@ -146,10 +150,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select("doc_id", "w.width", "w.hash", *[F.slice(c, F.col("w.place"), F.col("w.width")).alias(f"d_{c}") for c in ("words", "plain", "named")])
     items = F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items
     both = found.join(items, ["width", "hash"])
+    same = _bare(F.col("d_words")) == _bare(F.col("words"))
     ok = F.lit(False)
     for form in ("plain", "named"):
         d, b = F.col(f"d_{form}"), F.col(form)
-        ok = ok | ((d == b) & _literal(b) & (_slots(F.col("d_words"), d) == _slots(F.col("words"), b)))
+        ok = ok | ((d == b) & (same | (_literal(b) & (_slots(F.col("d_words"), d) == _slots(F.col("words"), b)))))
     return both.where(ok).groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("place").alias("n_hits")).select("doc_id", "item_id", "n_hits", "n_windows")
 
 

@@ -330,6 +330,13 @@ def test_decontamination(spark):
     assert template_decontam.contaminated(frame(spark, docs), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies_of_number_heavy_items(spark):
+    items = [(1, "Compute 12 + 7 * 30 - 5 = ? Sum 41 + 88 + 19 + 6."), (2, "What is 12 + 7 * 3 - 5 + 9 + 2?")]
+    docs = [(1, "Intro. " + items[0][1] + " Outro."), (2, "Intro. " + items[1][1]), (3, "Compute 13 + 7 * 30 - 5 = ? Sum 41 + 87 + 19 + 6."), (4, "What is 1 + 7 * 3 - 5 + 9 + 2?")]
+    got = template_decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_hits, r.n_windows) for r in got) == [(1, 1, 3, 3), (2, 2, 1, 1)]
+
+
 ODD = [(None, "null id text that is long enough to be a line"), (None, None), (1, "twice the same row, the same words in it"), (1, "twice the same row, the same words in it"), (1, "another text under the same id, some more words"), (2, None), (3, "")]
 RUNS = {
     "op1": minhash_dedup.link_components, "op2": lambda d: template_decontam.contaminated(d, d.sparkSession.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")),
