@@ -2,8 +2,9 @@
 
 Texts become tokens (runs of letters, marks and digits, lower-cased). Numbers, units after numbers, and names
 (capitalised words inside a sentence) become typed placeholders; the replaced words stay beside them as slot values.
-Windows of ``WIDTH`` tokens are hashed in two forms: with names replaced, and with names as words, so that a text in capital
-letters still matches. Document windows are hash-joined with the benchmark's; a hit counts if both windows' placeholders
+Windows of ``WIDTH`` tokens are hashed in three forms: with names replaced, with names as words, so that a text in capital
+letters still matches, and with every capitalised word replaced, as a name may start a text, line or sentence or follow a quote
+or bracket. Document windows are hash-joined with the benchmark's; a hit counts if both windows' placeholders
 and words are equal, and either the replaced words are equal too, or at least half the tokens are words and the slots are
 consistent: equal values on one side are equal on the other, as in a question asked again with other numbers and names. A document is contaminated by an item if at
 least ``least_hits`` of the item's windows are hit: half of them, or ``RUN_HITS``, the windows of 13 tokens.
@@ -33,25 +34,28 @@ UNITS = (
 ).split()
 #: Marks a name's first character; no text keeps it.
 _NAME = "\x01"
+#: Marks the first character of other capitalised words, which may be names too.
+_START = "\x02"
 
 
 def marked(text: Column) -> Column:
-    """The text with names marked, first words of them."""
-    t = F.translate(F.coalesce(text, F.lit("")), _NAME, " ")
-    return F.regexp_replace(t, r"([\p{Ll}\p{N},;]) (\p{Lu}\p{Ll}+)", f"$1 {_NAME}$2")
+    """The text with names marked, first words of them, and other capitalised words."""
+    t = F.translate(F.coalesce(text, F.lit("")), _NAME + _START, " \x03")
+    t = F.regexp_replace(t, r"([\p{Ll}\p{N},;]) (\p{Lu}\p{Ll}+)", f"$1 {_NAME}$2")
+    return F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{_NAME}])(\p{{Lu}}\p{{Ll}}+)", f"{_START}$1")
 
 
 def tokens(t: Column) -> Column:
-    """Lower-cased tokens of a marked text; names start with _NAME. Texts without names or digits skip what concerns them."""
+    """Lower-cased tokens of a marked text; names start with _NAME, other capitalised words with _START. Texts without names or digits skip what concerns them."""
     named = t
     for _ in range(2):  # second and third words of a name
-        named = F.regexp_replace(named, rf"({_NAME}\p{{Lu}}\p{{Ll}}+) (\p{{Lu}}\p{{Ll}}+)", f"$1 {_NAME}$2")
+        named = F.regexp_replace(named, rf"({_NAME}\p{{Lu}}\p{{Ll}}+) {_START}?(\p{{Lu}}\p{{Ll}}+)", f"$1 {_NAME}$2")
     t = F.when(F.contains(t, F.lit(_NAME)), named).otherwise(t)
     numbered = t
     for _ in range(2):  # marks inside numbers
         numbered = F.regexp_replace(numbered, r"([0-9])[.,]([0-9])", "$1$2")
     t = F.when(t.rlike(r"[0-9][.,][0-9]"), numbered).otherwise(t)
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{_NAME}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{_NAME}{_START}]+"), lambda w: w != "")
 
 
 def _is_number(w: Column) -> Column:
@@ -80,12 +84,16 @@ def _hashes(form: Column, width: int) -> Column:
 
 
 def _prepared(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, words, plain and named forms. named is null where no name occurs, then equal to plain."""
+    """keys, words, plain, named and open forms. named is null where no name occurs, open where no other capitalised word does: they equal the form before."""
     rows = rows.select(*keys, marked(F.col("text")).alias("__t"))
-    rows = rows.select(*keys, tokens(F.col("__t")).alias("words"), F.contains("__t", F.lit(_NAME)).alias("__names"), F.col("__t").rlike("[0-9]").alias("__digits"))
+    rows = rows.select(*keys, tokens(F.col("__t")).alias("__all"), F.contains("__t", F.lit(_NAME)).alias("__names"), F.contains("__t", F.lit(_START)).alias("__starts"), F.col("__t").rlike("[0-9]").alias("__digits"))
+    words = F.when(F.col("__starts"), F.transform("__all", lambda w: F.ltrim(w, F.lit(_START)))).otherwise(F.col("__all"))
+    rows = rows.select("*", words.alias("words"))
     # Most texts have neither: their forms are their words.
     plain = F.when(F.col("__names") | F.col("__digits"), forms(F.col("words"), names=False)).otherwise(F.col("words"))
-    return rows.select(*keys, "words", plain.alias("plain"), F.when(F.col("__names"), forms(F.col("words"), names=True)).alias("named"))
+    rows = rows.select("*", plain.alias("plain"), F.when(F.col("__names"), forms(F.col("words"), names=True)).alias("named"))
+    each = F.zip_with("__all", F.coalesce("named", "plain"), lambda w, f: F.when(F.ascii(w) == 2, "<name>").otherwise(f))
+    return rows.select(*keys, "words", "plain", "named", F.when(F.col("__starts"), each).alias("open"))
 
 
 def _placed(hashes: Column, width: int) -> Column:
@@ -93,30 +101,34 @@ def _placed(hashes: Column, width: int) -> Column:
 
 
 def _window_hashes(prepared: DataFrame, key: str, widths: list[int]) -> DataFrame:
-    """key, width, hash, place (from 1) of each window in its one or two forms."""
+    """key, width, hash, place (from 1) of each window in its one to three forms."""
     token = lambda w: F.xxhash64(w)
-    prepared = prepared.select(key, F.transform("plain", token).alias("plain"), F.transform("named", token).alias("named"))
+    prepared = prepared.select(key, F.transform("plain", token).alias("plain"), F.transform("named", token).alias("named"), F.transform("open", token).alias("open"))
     parts = []
     for width in widths:
         plain = _hashes(F.col("plain"), width)
         named = F.when(F.col("named").isNotNull(), _hashes(F.col("named"), width)).otherwise(F.array().cast("array<bigint>"))
         for hashes in (plain, named):
             parts.append(_placed(hashes, width))
+        # Windows without another capitalised word are in the form before already.
+        before = F.when(F.col("named").isNotNull(), named).otherwise(plain)
+        fresh = F.zip_with(_placed(_hashes(F.col("open"), width), width), before, lambda w, h: F.when(w["hash"] != h, w))
+        parts.append(F.when(F.col("open").isNotNull(), F.filter(fresh, lambda w: w.isNotNull())).otherwise(F.array().cast("array<struct<width:int,hash:bigint,place:int>>")))
     rows = prepared.select(key, F.explode(F.concat(*parts)).alias("w"))
     return rows.select(key, "w.*")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, hash, place, n_windows, plain and named window, slots."""
+    """item_id, width, hash, place, n_windows, words and the three forms of each window."""
     prepared = durable(_prepared(benchmark, "item_id").where(F.size("words") >= MIN_TOKENS))
     width = F.least(F.lit(WIDTH), F.size("words"))
-    rows = prepared.select("item_id", "words", "plain", F.coalesce("named", "plain").alias("named"), width.alias("width"), F.explode(F.sequence(F.lit(1), F.size("words") - width + 1)).alias("place"))
-    rows = rows.select("item_id", "width", "place", *[F.slice(c, "place", "width").alias(c) for c in ("words", "plain", "named")])
+    rows = prepared.select("item_id", "words", "plain", F.coalesce("named", "plain").alias("named"), F.coalesce("open", "named", "plain").alias("open"), width.alias("width"), F.explode(F.sequence(F.lit(1), F.size("words") - width + 1)).alias("place"))
+    rows = rows.select("item_id", "width", "place", *[F.slice(c, "place", "width").alias(c) for c in ("words", "plain", "named", "open")])
     totals = rows.groupBy(F.col("item_id").alias("of_item")).agg(F.count("*").alias("n_windows"))
     token = lambda form: lambda k: F.xxhash64(F.get(form, F.lit(k)))
     hashes = F.lit(None).cast("array<bigint>")
     for w in range(MIN_TOKENS, WIDTH + 1):
-        hashes = F.when(F.col("width") == w, F.array(*[_hash(token(form), w) for form in ("plain", "named")])).otherwise(hashes)
+        hashes = F.when(F.col("width") == w, F.array(*[_hash(token(form), w) for form in ("plain", "named", "open")])).otherwise(hashes)
     rows = rows.select("*", F.explode(F.array_distinct(hashes)).alias("hash"))
     return durable(rows.join(totals, F.col("item_id").eqNullSafe(F.col("of_item"))).drop("of_item"))
 
@@ -146,15 +158,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = durable(_window_hashes(_prepared(docs, "doc_id"), "doc_id", widths).join(keys, ["width", "hash"], "left_semi").select("doc_id", "width", "hash", "place"))
     hit_docs = places.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set(F.struct("width", "hash", "place")).alias("at"))
     found = docs.select("doc_id", "text").join(hit_docs, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("doc_id", "text", "at")
-    found = _prepared(found, "doc_id", "at").select("doc_id", "words", "plain", F.coalesce("named", "plain").alias("named"), F.explode("at").alias("w"))
-    found = found.select("doc_id", "w.width", "w.hash", *[F.slice(c, F.col("w.place"), F.col("w.width")).alias(f"d_{c}") for c in ("words", "plain", "named")])
+    found = _prepared(found, "doc_id", "at").select("doc_id", "words", "plain", F.coalesce("named", "plain").alias("named"), F.coalesce("open", "named", "plain").alias("open"), F.explode("at").alias("w"))
+    found = found.select("doc_id", "w.width", "w.hash", *[F.slice(c, F.col("w.place"), F.col("w.width")).alias(f"d_{c}") for c in ("words", "plain", "named", "open")])
     items = F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items
     both = found.join(items, ["width", "hash"])
     same = _bare(F.col("d_words")) == _bare(F.col("words"))
     ok = F.lit(False)
-    for form in ("plain", "named"):
+    for form in ("plain", "named", "open"):
         d, b = F.col(f"d_{form}"), F.col(form)
-        ok = ok | ((d == b) & (same | (_literal(b) & (_slots(F.col("d_words"), d) == _slots(F.col("words"), b)))))
+        # A name at a sentence's start is the name elsewhere.
+        d_words, words = (_bare(F.col("d_words")), _bare(F.col("words"))) if form == "open" else (F.col("d_words"), F.col("words"))
+        ok = ok | ((d == b) & (same | (_literal(b) & (_slots(d_words, d) == _slots(words, b)))))
     return both.where(ok).groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("place").alias("n_hits")).select("doc_id", "item_id", "n_hits", "n_windows")
 
 

@@ -337,6 +337,22 @@ def test_decontamination_finds_verbatim_copies_of_number_heavy_items(spark):
     assert sorted((r.doc_id, r.item_id, r.n_hits, r.n_windows) for r in got) == [(1, 1, 3, 3), (2, 2, 1, 1)]
 
 
+def test_decontamination_takes_names_at_sentence_starts_for_slots(spark):
+    items = [(1, "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"), (2, "Tom\nsays to Mary \"Peter walks to the old mill by the river\" twice.")]
+    docs = [
+        (1, "Anna has 5 apples. Anna buys 9 more. How many apples does Anna have?"),
+        (2, "Intro text, then: Anna has 5 apples. Anna buys 9 more. How many apples does Anna have? And so on."),
+        (3, "Anna has 5 apples. Paul buys 9 more. How many apples does Mary have?"),
+        (4, "Eve\nsays to Lucy \"Simon walks to the old mill by the river\" twice."),
+        (5, "Anna eats 5 apples. Then she sleeps. How many hours does Anna sleep?"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = template_decontam.contaminated(frame(spark, docs), benchmark).collect()
+    assert {(1, 1), (2, 1), (4, 2)} <= {(r.doc_id, r.item_id) for r in got} and {r.doc_id for r in got} <= {1, 2, 3, 4}
+    hits = {(r.doc_id, r.item_id): r.n_hits for r in template_decontam.hits(frame(spark, docs), benchmark).collect()}
+    assert hits[1, 1] == hits[2, 1] == 7 and hits.get((3, 1), 0) < 7
+
+
 ODD = [(None, "null id text that is long enough to be a line"), (None, None), (1, "twice the same row, the same words in it"), (1, "twice the same row, the same words in it"), (1, "another text under the same id, some more words"), (2, None), (3, "")]
 RUNS = {
     "op1": minhash_dedup.link_components, "op2": lambda d: template_decontam.contaminated(d, d.sparkSession.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")),
