@@ -25,8 +25,8 @@ SYMBOLS = "#*$%&|<>"
 #: Base rules: fewest words, and the share of words in repeated 5-word windows in percent.
 MIN_WORDS, MAX_REPEAT = 10, 20
 LEAST, STEPS, CORE = 100, 3, 0.75
-#: Chi-squared with 5 degrees of freedom: its 0.75 quantile, and the one at 1 - 5e-7.
-CHI2_CORE, CUTOFF = 6.6257, 38.8
+#: Chi-squared with 5 degrees of freedom: its 0.75 quantile, and the usual one at 0.999.
+CHI2_CORE, CUTOFF = 6.6257, 20.515
 SCALE = 10_000
 #: Statistic and the standard deviation that every group is granted, so that constant statistics reject nothing for a trifle.
 #: Pseudo-counts (20 words of 5 characters) draw short texts towards the middle.

@@ -250,6 +250,15 @@ def test_quality_counts_and_verdicts(spark, corpus):
     assert all(got[i].kept for i, _ in clean)
 
 
+def test_quality_rejects_plain_outliers_and_keeps_labelled_clean_texts(spark):
+    folder = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    got = mcd_quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    assert n[0, False] > 0.7 * (n[0, False] + n[0, True])
+    assert n.get((1, False), 0) <= 0.001 * n[1, True]
+
+
 def test_quality_estimate_matches_numpy(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(400, 5)) * [0.8, 0.2, 0.2, 0.2, 0.3] + 1) * mcd_quality.SCALE
