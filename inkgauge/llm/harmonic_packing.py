@@ -15,18 +15,22 @@ carried along. An empty table gives no pieces. Columns other than doc_id and tex
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import Remembered, durable, map_slices
+from inkgauge.llm.common import Remembered, map_slices, written
 
 #: Pieces shorter than this are tails of documents: a class for each length.
 TAIL = 64
 #: Words of one generation of the encoder's memory, up to 640 bytes each as measured.
 WORDS = 350_000
+#: A mark after letters that stay single letters when lowered and composed. Of other letters some become a letter and a
+#: combining mark, which the tokenizer joins to the mark after it, so such words are encoded whole.
+_MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
 
 
 @functools.lru_cache(maxsize=1)
@@ -86,14 +90,14 @@ def encoder(tokenizer_path: str, *, end_id: int) -> Callable[[list[str | None]],
         return out
 
     def ids_of(words: list[str]) -> list[bytes]:
-        """Through a plainer form that has the same ids: A-Z lowered, a mark after letters on its own."""
+        """Through a plainer form that has the same ids: A-Z lowered, a mark after plain letters on its own."""
         plain = [(w.lower() if w.isascii() and "<|" not in w else w) for w in words]
-        stems = [w[:-1] if w[-1:] in marks and w[:-1].isalpha() else w for w in plain]
+        stems = [w[:-1] if _MARKED.fullmatch(w) else w for w in plain]
         ids = {w: known.get(w) for w in {*stems, *marks}}
         ids.update(from_library([w for w, x in ids.items() if x is None]))
         return [ids[s] if s is w else ids[s] + ids[w[-1]] for s, w in zip(stems, plain, strict=True)]
 
-    marks = (".", ",")
+    marks = (".", ",")  # those of _MARKED
     known = Remembered(ids_of, WORDS)
 
     def encode(texts: list[str | None]) -> list[bytes]:
@@ -185,11 +189,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     # The pieces' places are facts of one run of the cutting tasks: written down, so that a lost executor can't change them.
-    pieces = durable(cut_documents(docs, tokenizer_path, capacity=capacity, end_id=end_id))
+    pieces = written(cut_documents(docs, tokenizer_path, capacity=capacity, end_id=end_id))
     held = pieces.groupBy("worker", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("worker", "length", "before", "n")
-    held = durable(held)
+    held = written(held)
     totals = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row per class
     plan = spark.createDataFrame(merge_last_bins(totals, capacity), "length long, k long, first long, last long, last_offset long")
     total = spark.createDataFrame(list(totals.items()), "length long, total long")
