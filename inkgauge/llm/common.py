@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +17,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A Python worker handles at most so many rows, and about so many bytes, at once.
 SLICE, SLICE_BYTES = 1024, 2_000_000
-#: Entries of one generation of a worker's word cache; two generations are held.
-CACHE_WORDS = 300_000
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only a local session without that setting (tests) gets a temporary folder; on a cluster the setting must exist,
-    since executors do not share a machine's own folders.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+#: Entries, and bytes of words and values, of one generation of a worker's word cache; two generations are held.
+CACHE_WORDS, CACHE_BYTES = 300_000, 24_000_000
+#: A key with over 1 / PIECES of a task's fair share of a join's rows is split into pieces of that size.
+PIECES, LEAST_PIECE = 4, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +62,13 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dic
 
 
 class Remembered:
-    """Values of words that ``compute`` gives for lists of words. Words not met for a generation are forgotten."""
+    """Values of words that ``compute`` gives for lists of words. Words not met for a generation are forgotten.
+
+    A generation ends at ``limit`` words or CACHE_BYTES of their texts, or with the call that exceeds them.
+    """
 
     def __init__(self, compute: Callable[[list], list], limit: int = CACHE_WORDS) -> None:
-        self.compute, self.limit, self.now, self.past = compute, limit, {}, {}
+        self.compute, self.limit, self.now, self.past, self.size = compute, limit, {}, {}, 0
 
     def get(self, word):
         """The value of a remembered word, else None."""
@@ -89,25 +77,31 @@ class Remembered:
     def of(self, words: set) -> dict:
         """A mapping that holds all of ``words``."""
         fresh = words.difference(self.now)
-        if len(self.now) + len(fresh) > self.limit:
-            self.now, self.past, fresh = {}, self.now, words
+        if self.now and (len(self.now) + len(fresh) > self.limit or self.size > CACHE_BYTES):
+            self.now, self.past, fresh, self.size = {}, self.now if self.size <= CACHE_BYTES else {}, words, 0
         past, new = self.past, []
         for w in fresh:
             if w in past:
                 self.now[w] = past[w]
             else:
                 new.append(w)
+        self.size += sum(map(len, fresh))
         self.now.update(zip(new, self.compute(new), strict=True))
         return self.now
 
 
 class WordHash(dict):
-    """Word (bytes) to a 64-bit hash; the same on every worker. Emptied when it holds CACHE_WORDS."""
+    """Word (bytes) to a 64-bit hash; the same on every worker. Emptied when it holds CACHE_WORDS or CACHE_BYTES."""
+
+    size = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) >= CACHE_WORDS or self.size >= CACHE_BYTES:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+            self.size = 0
+        self.size += len(word)
+        self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -180,33 +174,77 @@ def rewrite(df: DataFrame, inputs: list[str], added: str, work: Callable[[], Cal
 _written: list[tuple[SparkSession, str]] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session without it (tests) writes below its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return folder
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Like ``durable`` for large tables: Parquet in a folder of its own below ``spark.checkpoint.dir``.
+    """Cut the lineage: Parquet in a folder of its own below ``spark.checkpoint.dir``, read again.
 
-    Smaller than a checkpoint and read by columns. The folder goes when the driver's Python ends.
+    The folder goes at the end of the ``freed`` block that it was written in, else when the driver's Python ends.
     """
-    import uuid
-
     spark = df.sparkSession
     if not _written:
         import atexit
 
-        atexit.register(_remove_written)
-    durable(spark.range(0))  # sets the folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        atexit.register(_remove, 0)
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     _written.append((spark, folder))
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def _remove_written() -> None:
-    for spark, folder in _written:
+@contextmanager
+def freed(*, last: bool = False) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose written tables are removed at its end, but for those that the yielded function writes.
+
+    With ``last`` the table written last before the block goes too.
+    """
+    mark, kept = max(0, len(_written) - last), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = written(df)
+        kept.append(_written.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _remove(mark)
+        _written.extend(kept)
+
+
+def _remove(mark: int) -> None:
+    while len(_written) > mark:
+        spark, folder = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to clean
-            return
+            continue
+
+
+def skew_join(rows: DataFrame, index: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join of ``rows`` with ``index``, which has one row per ``key`` and in column ``n`` the number of rows with it.
+
+    Keys that would fill a good part of a task are split: their rows are dealt by a hash of column ``spread`` over pieces,
+    and the index row is repeated for each piece. At most PIECES keys per shuffle partition can be so frequent, which bounds
+    what is broadcast. ``index`` should be a written table; ``n`` isn't in the result.
+    """
+    spark = rows.sparkSession
+    total = index.agg(F.sum("n")).first()[0] or 0
+    piece = max(LEAST_PIECE, total // (PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    pieces = F.when(F.col("n") > piece, F.ceil(F.col("n") / piece).cast("int")).otherwise(F.lit(1))
+    heavy = index.where(F.col("n") > piece).select(key, pieces.alias("__pieces"))
+    dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__pieces")), F.lit(0)).cast("int")).drop("__pieces")
+    copies = index.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    return dealt.join(copies, [key, "__piece"]).drop("__piece")
 
 
 def distinct_sorted(h: np.ndarray) -> np.ndarray:
