@@ -9,11 +9,13 @@ end. Factors of ``SPAN`` words and more are duplicate spans. A block's smallest
 window of ``SPAN`` words that touches a shared block but lies in no factor, at the factors' boundaries, is looked up exactly
 by its own hash among the windows of all documents there. Nothing else can be a duplicate: a repeated window holds a shared block.
 
-Only blocks, and windows at boundaries, are shuffled; both are pre-aggregated, so a passage that a third of all documents
-share is one row per task, and no pair of documents is ever formed.
+Only blocks, and windows at boundaries, are shuffled; both are pre-aggregated, and a passage that a third of all documents
+share is dealt over many tasks when the references are joined back. No pair of documents is ever formed.
 
-Null texts have no words. Rows with a null doc_id lose nothing and are no reference. Rows that share a doc_id are one
-document to the index (they don't remove words from each other); each is returned. Texts are processed whole.
+Null texts have no words. Rows with a null doc_id lose nothing and are no reference. Rows that share a doc_id don't remove
+words from each other; each is parsed by itself, as a row is known by its doc_id and a hash of its text, and each is returned
+(equal rows equally). Texts are processed whole. An empty table gives an empty result. Of the other columns those named n_words
+and n_removed are replaced, the rest are kept whatever their names are, except names that start with two underscores.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import WordHash, map_slices, rewrite, signed, windows, written
+from inkgauge.llm.common import WordHash, map_slices, rewrite, signed, skew_join, windows, written
 
 SPAN, BLOCK = 50, 26
 #: Blocks in a span; neighbouring chosen blocks are at most so far apart, and so leave no word between them.
@@ -39,54 +41,67 @@ def chosen_blocks(blocks: np.ndarray) -> np.ndarray:
     return view.argmin(axis=1) + np.arange(len(view))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with __row, which tells rows of one doc_id apart."""
+    return docs.withColumn("__row", F.xxhash64("text"))
+
+
+def _flat(found: list[tuple[np.ndarray, int, int, np.ndarray]]) -> list:
+    """Hashes, doc_id, row and place of each entry of (hashes, doc_id, row, places)."""
+    if not found:
+        return [[], [], [], []]
+    sizes = [len(p) for _, _, _, p in found]
+    repeated = lambda k: np.repeat(np.array([x[k] for x in found], np.int64), sizes)
+    return [signed(np.concatenate([x[0] for x in found])), repeated(1), repeated(2), np.concatenate([x[3] for x in found]).astype(np.int32)]
+
+
 def block_rows(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, place) of the chosen blocks, and of each document's first and last block, of documents with a span."""
+    """(block, doc_id, row, place) of the chosen blocks, and of each document's first and last block, of documents with a span."""
 
     def work():
         hashes = WordHash()
 
-        def run(ids: list, texts: list) -> list:
-            out: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for i, text in zip(ids, texts, strict=True):
+        def run(ids: list, rows: list, texts: list) -> list:
+            out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+            for i, row, text in zip(ids, rows, texts, strict=True):
                 words = split(text)
                 if i is None or len(words) < SPAN:
                     continue
                 blocks = windows(hashes.of(words), BLOCK)
                 places = np.unique(np.r_[0, chosen_blocks(blocks), len(blocks) - 1])
-                out.append((blocks[places], i, places))
-            if not out:
-                return [[], [], []]
-            sizes = [len(p) for _, _, p in out]
-            return [signed(np.concatenate([b for b, _, _ in out])), np.repeat(np.array([i for _, i, _ in out], np.int64), sizes), np.concatenate([p for _, _, p in out]).astype(np.int32)]
+                out.append((blocks[places], i, row, places))
+            return _flat(out)
 
         return run
 
-    return map_slices(docs, "block long, doc_id long, place int", work, ["doc_id", "text"])
+    return map_slices(docs, "block long, doc_id long, row long, place int", work, ["doc_id", "__row", "text"])
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, __matches): each document's shared blocks as (place, reference document, place there)."""
+    """(doc_id, __row, __matches): each row's shared blocks as (place, reference document, reference row, place there)."""
     rows = written(block_rows(docs))
-    index = rows.groupBy("block").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place"))
-    index = written(index.where("ref < last").select("block", "ref", "ref_place"))
-    return rows.join(index, "block").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ref", "ref_place")).alias("__matches"))
+    # All three parts of a reference come from the same row: ties are settled alike in aggregates over one input.
+    index = rows.groupBy("block").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min_by("row", "doc_id").alias("ref_row"), F.min_by("place", "doc_id").alias("ref_place"))
+    index = written(index.where("ref < last").drop("last"))
+    return skew_join(rows, index, "block", "row").groupBy("doc_id", F.col("row").alias("__row")).agg(F.collect_set(F.struct("place", "ref", "ref_row", "ref_place")).alias("__matches"))
 
 
 class Parsed:
     """One document's windows: ``sure`` lie in factors, ``open`` touch a shared block but lie in none."""
 
-    def __init__(self, hashes: np.ndarray, doc_id: int, place: np.ndarray, ref: np.ndarray, ref_place: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, doc_id: int, place: np.ndarray, ref: np.ndarray, ref_row: np.ndarray, ref_place: np.ndarray) -> None:
         order = np.argsort(place)
-        place, ref, ref_place = place[order], ref[order], ref_place[order]
+        place, ref, ref_row, ref_place = place[order], ref[order], ref_row[order], ref_place[order]
         n = len(hashes) - SPAN + 1
         chosen = chosen_blocks(windows(hashes, BLOCK))
         shared = np.zeros(len(hashes), bool)
         shared[place] = True
         self.sure = np.zeros(n, bool)
         older = ref < doc_id
-        place, ref, shift = place[older], ref[older], (place - ref_place)[older]
+        place, ref, ref_row, shift = place[older], ref[older], ref_row[older], (place - ref_place)[older]
         if len(place):
-            breaks = np.flatnonzero((ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] - place[:-1] > BLOCK)) + 1
+            breaks = np.flatnonzero((ref[1:] != ref[:-1]) | (ref_row[1:] != ref_row[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] - place[:-1] > BLOCK)) + 1
             starts, ends = place[np.r_[0, breaks]], place[np.r_[breaks - 1, len(place) - 1]] + BLOCK
             step = np.zeros(n + 1, np.int64)
             long = ends - starts >= SPAN
@@ -96,42 +111,35 @@ class Parsed:
         self.open = shared[chosen] & ~self.sure
 
 
-def _arrays(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.array([m[k] for m in found], np.int64) for k in ("place", "ref", "ref_place"))
+def _arrays(found: list) -> tuple[np.ndarray, ...]:
+    return tuple(np.array([m[k] for m in found], np.int64) for k in ("place", "ref", "ref_row", "ref_place"))
 
 
 def boundary_windows(matched: DataFrame) -> DataFrame:
-    """(window, doc_id, start): windows to be looked up exactly, from doc_id, text and __matches."""
+    """(window, doc_id, row, start): windows to be looked up exactly, from doc_id, __row, text and __matches."""
 
     def work():
         words_of = WordHash()
 
-        def run(ids: list, texts: list, found: list) -> list:
-            out: list[tuple[np.ndarray, int, np.ndarray]] = []
-            for i, text, m in zip(ids, texts, found, strict=True):
-                words = split(text)
-                if len(words) < SPAN:  # another row of the same doc_id
-                    continue
-                hashes = words_of.of(words)
-                m = [x for x in m if x["place"] <= len(words) - BLOCK]
+        def run(ids: list, rows: list, texts: list, found: list) -> list:
+            out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+            for i, row, text, m in zip(ids, rows, texts, found, strict=True):
+                hashes = words_of.of(split(text))
                 starts = np.flatnonzero(Parsed(hashes, i, *_arrays(m)).open)
-                out.append((windows(hashes, SPAN)[starts], i, starts))
-            if not out:
-                return [[], [], []]
-            sizes = [len(s) for _, _, s in out]
-            return [signed(np.concatenate([w for w, _, _ in out])), np.repeat(np.array([i for _, i, _ in out], np.int64), sizes), np.concatenate([s for _, _, s in out]).astype(np.int32)]
+                out.append((windows(hashes, SPAN)[starts], i, row, starts))
+            return _flat(out)
 
         return run
 
-    return map_slices(matched, "window long, doc_id long, start int", work, ["doc_id", "text", "__matches"])
+    return map_slices(matched, "window long, doc_id long, row long, start int", work, ["doc_id", "__row", "text", "__matches"])
 
 
 def confirmed(boundary: DataFrame) -> DataFrame:
-    """(doc_id, __starts): boundary windows that also start in a smaller document."""
+    """(doc_id, __row, __starts): boundary windows that also start in a smaller document."""
     rows = written(boundary)
-    first = rows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = written(first.where("first < last").select("window", "first"))
-    return rows.join(first, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("start").alias("__starts"))
+    first = rows.groupBy("window").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = written(first.where("first < last").drop("last"))
+    return skew_join(rows, first, "window", "row").where("doc_id > first").groupBy("doc_id", F.col("row").alias("__row")).agg(F.collect_set("start").alias("__starts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -139,9 +147,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Columns of these two names are replaced.
     """
+    docs, on = identified(docs), ["doc_id", "__row"]
     found = written(matches(docs))
-    boundary = boundary_windows(docs.select("doc_id", "text").join(found, "doc_id"))
-    marks = found.join(confirmed(boundary), "doc_id", "left")
+    boundary = boundary_windows(docs.select(*on, "text").join(found, on))
+    marks = found.join(confirmed(boundary), on, "left")
 
     def work():
         words_of = WordHash()
@@ -151,12 +160,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for i, text, m, s in zip(ids, texts, found, starts, strict=True):
                 words = split(text)
                 gone = 0
-                if m and len(words) >= SPAN:
-                    hashes = words_of.of(words)
-                    m = [x for x in m if x["place"] <= len(words) - BLOCK]
-                    starts_here = Parsed(hashes, i, *_arrays(m)).sure
-                    if s:
-                        starts_here[[x for x in s if x < len(starts_here)]] = True
+                if m:
+                    starts_here = Parsed(words_of.of(words), i, *_arrays(m)).sure
+                    starts_here[s or []] = True
                     step = np.zeros(len(words) + 1, np.int64)
                     step[:-SPAN] += starts_here
                     step[SPAN:] -= starts_here
@@ -171,4 +177,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return rewrite(docs.join(marks, "doc_id", "left"), ["doc_id", "text", "__matches", "__starts"], "text string, n_words long, n_removed long", work)
+    return rewrite(docs.join(marks, on, "left"), ["doc_id", "text", "__matches", "__starts"], "text string, n_words long, n_removed long", work)
