@@ -2,17 +2,24 @@
 
 A line's key is the line without ASCII blanks at its ends, A-Z lower-cased, hashed to 128 bits. The index holds
 * ``postings`` (key, doc_id): which document holds which key, distinct;
-* ``counts`` (key, n_docs, first_doc): the exact reference counts;
+* ``fresh`` (key, n_docs, first_doc): a row per key, as it stood when the key first came;
+* ``more`` (key, n_docs, first_doc): what later insertions added to keys; both together are the exact reference counts;
 * ``filters`` (shard, n_keys, content): a cuckoo filter of the keys of each shard, of 16-bit fingerprints.
 Inserting documents pre-aggregates their keys, so a line that a third of all documents hold is one row, and asks the
-shard's filter first: keys it doesn't know are certainly new and need no lookup in the exact table. Deleting documents
-takes their postings back, lowers the counts and removes keys that reach 0 from the filters, which Bloom filters can't do.
-After an insertion and the deletion of the same documents, counts and the filters' answers to their keys are as before.
+shard's filter: keys it doesn't know are certainly new and are appended to ``fresh`` unseen; only those it may know are looked
+up in the exact table. Tables are appended to, never rewritten. So after all insertions the repeated keys are those that repeated
+within one insertion or came again, and all other keys, which are most, are known to be single without a count over the whole.
+Deleting documents takes their postings back, lowers the counts and removes keys that reach 0 from the filters, which Bloom
+filters can't do. After an insertion and the deletion of the same documents, counts and the filters' answers are as before.
+
+``dedup_lines`` inserts a table in ``BATCHES`` parts by a hash of doc_id: its result rests on the filters' answers.
 
 Documents lose every line whose key has at least ``MIN_CHARS`` code points and is held by a smaller doc_id.
 
 Null or empty texts are one empty line. Rows with a null doc_id hold no postings and keep all lines. Rows that share a
-doc_id are one document to the counts, and each loses its own lines. Empty tables give empty results.
+doc_id are one document to the counts, and each loses its own lines. Documents that the index holds already are not inserted
+again: a repeated insertion has no effect. Empty tables give empty results. Of the other columns those named n_lines and n_dropped
+are replaced, the rest are kept whatever their names are, except names that start with two underscores.
 """
 
 from __future__ import annotations
@@ -26,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import BLANKS, durable, map_slices, mix, rewrite
+from inkgauge.llm.common import BLANKS, map_slices, mix, rewrite, skew_join, written
 
 MIN_CHARS = 10
 #: Keys of one shard when an index is first filled; shards are what one task holds at a time.
 SHARD_KEYS = 100_000
+#: Insertions that a whole table is dealt over.
+BATCHES = 4
 SLOTS = 4
 
 
@@ -135,93 +144,119 @@ def _hashes(keys) -> np.ndarray:
 def _probe_shard(keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     """Which keys of a shard its filter may hold."""
     known = CuckooFilter.load(state["content"].iloc[0]).contains(_hashes(keys["key"])) if len(state) and len(keys) else np.zeros(len(keys), bool)
-    return pd.DataFrame({"key": keys["key"], "known": known})
+    return keys.drop(columns="shard").assign(known=known)
+
+
+def _fill_shard(room: float, change: int):
+    """A shard's filter after distinct keys came in (change 1) or went out (-1); a new one has room for ``room`` times its keys."""
 
+    def fill(keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        shard = int((keys if len(keys) else state)["shard"].iloc[0])
+        content = CuckooFilter.load(state["content"].iloc[0]) if len(state) else CuckooFilter.sized(math.ceil(len(keys) * room))
+        hashes = _hashes(keys["key"])
+        full = False
+        if change > 0:
+            full = not content.insert(hashes).all()
+        else:
+            content.delete(hashes)
+        return pd.DataFrame({"shard": [shard], "n_keys": [int(state["n_keys"].sum()) + change * len(keys)], "content": [content.dump()], "full": [full]})
 
-def _fill_shard(keys: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """A shard's filter after the keys with change 1 came in and those with change -1 went out."""
-    shard = int((keys if len(keys) else state)["shard"].iloc[0])
-    content = CuckooFilter.load(state["content"].iloc[0]) if len(state) else CuckooFilter.sized(len(keys))
-    comes = (keys["change"] > 0).to_numpy(bool)
-    hashes = _hashes(keys["key"])
-    content.delete(hashes[~comes])
-    full = not content.insert(hashes[comes]).all()
-    n_keys = int(state["n_keys"].sum()) + 2 * int(comes.sum()) - len(comes)
-    return pd.DataFrame({"shard": [shard], "n_keys": [n_keys], "content": [content.dump()], "full": [full]})
+    return fill
 
 
 _FILTERS = "shard long, n_keys long, content binary"
 _COUNTS = "key binary, n_docs long, first_doc long"
 
 
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """State of the dedup. Methods return new states; tables are durable."""
+    """State of the dedup. Methods return new states; their tables are written."""
 
     shards: int
     postings: DataFrame
-    counts: DataFrame
+    fresh: DataFrame
+    more: DataFrame
     filters: DataFrame
 
     @staticmethod
     def empty(spark: SparkSession) -> LineIndex:
         frame = lambda ddl: spark.createDataFrame([], ddl)
-        return LineIndex(0, frame("key binary, doc_id long"), frame(_COUNTS), frame(_FILTERS))
+        return LineIndex(0, frame("key binary, doc_id long"), frame(_COUNTS), frame(_COUNTS), frame(_FILTERS))
 
-    def _sharded(self, keys: DataFrame, change: int = 0):
-        return keys.select(F.pmod(F.xxhash64("key"), F.lit(max(1, self.shards))).alias("shard"), "key", F.lit(change).alias("change")).groupBy("shard").cogroup(self.filters.groupBy("shard"))
+    @property
+    def counts(self) -> DataFrame:
+        """(key, n_docs, first_doc): the exact reference counts."""
+        return _summed(self.fresh.unionByName(self.more))
+
+    def _sharded(self, keys: DataFrame):
+        return keys.select(F.pmod(F.xxhash64("key"), F.lit(max(1, self.shards))).alias("shard"), *keys.columns).groupBy("shard").cogroup(self.filters.groupBy("shard"))
 
     def _filled(self, keys: DataFrame, change: int) -> LineIndex:
         """With the filters changed by distinct ``keys``; rebuilt larger from the exact table if one is full."""
-        filters = durable(self._sharded(keys, change).applyInPandas(_fill_shard, _FILTERS + ", full boolean"))
+        filters = written(self._sharded(keys.select("key")).applyInPandas(_fill_shard(1.0, change), _FILTERS + ", full boolean"))
         if not filters.where("full").isEmpty():
             return self.rebuilt()
         return replace(self, filters=filters.drop("full"))
 
     def rebuilt(self, room: float = 1.0) -> LineIndex:
-        """The same counts, with filters of a fitting number of shards filled anew from the exact table."""
+        """The same counts, with filters of a fitting number of shards filled anew, with room for ``room`` times the keys held."""
         shards = max(1, math.ceil(self.counts.count() * room / SHARD_KEYS))
         bare = replace(self, shards=shards, filters=self.filters.limit(0))
-        filters = durable(bare._sharded(self.counts, 1).applyInPandas(_fill_shard, _FILTERS + ", full boolean"))
+        filters = written(bare._sharded(self.counts.select("key")).applyInPandas(_fill_shard(room, 1), _FILTERS + ", full boolean"))
         return replace(bare, filters=filters.drop("full")) if filters.where("full").isEmpty() else self.rebuilt(room * 1.1)
 
     def known(self, keys: DataFrame) -> DataFrame:
-        """(key, known) of distinct keys: whether the filters may hold them; ``false`` is certain."""
-        return self._sharded(keys).applyInPandas(_probe_shard, "key binary, known boolean")
-
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """Add documents whose doc_ids the index doesn't hold yet."""
-        new = durable(line_postings(docs).distinct())
-        batch = durable(new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")))
+        """Distinct ``keys``, with their other columns, and known: whether the filters may hold them; ``false`` is certain."""
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema)
+        return self._sharded(keys).applyInPandas(_probe_shard, schema + ", known boolean")
+
+    def insert(self, docs: DataFrame, *, room: float = 1.0) -> LineIndex:
+        """Add documents; those whose doc_id the index holds have no effect. ``room`` says how many times their keys a first filling makes room for."""
+        new = line_postings(docs).distinct()
+        if self.shards:
+            new = new.join(self.postings.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id")
+        return self._insert(written(new), room)
+
+    def _insert(self, new: DataFrame, room: float) -> LineIndex:
+        """Add the postings of documents that the index doesn't hold."""
+        batch = written(new.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")))
         if not self.shards:
-            return replace(self, postings=new, counts=batch).rebuilt()
-        maybe = durable(self.known(batch)).where("known").select("key")
-        held = self.counts.select("key", F.col("n_docs").alias("n0"), F.col("first_doc").alias("f0"))
+            return replace(self, postings=new, fresh=batch).rebuilt(room)
+        asked = written(self.known(batch))
+        maybe = asked.where("known").drop("known")
         # Only keys that the filters don't rule out are looked up in the exact table.
-        met = durable(batch.join(maybe, "key", "left_semi").join(held, "key"))
-        added = met.select("key", (F.col("n_docs") + F.col("n0")).alias("n_docs"), F.least("first_doc", "f0").alias("first_doc"))
-        fresh = batch.join(met, "key", "left_anti")
-        counts = durable(self.counts.join(met, "key", "left_anti").unionByName(added).unionByName(fresh))
-        return replace(self, postings=durable(self.postings.unionByName(new)), counts=counts)._filled(fresh, 1)
+        held = written(self.fresh.select("key").join(maybe.select("key"), "key", "left_semi"))
+        met = written(maybe.join(held, "key", "left_semi"))
+        fresh = written(asked.where("not known").drop("known").unionByName(maybe.join(held, "key", "left_anti")))
+        grown = replace(self, postings=self.postings.unionByName(new), fresh=self.fresh.unionByName(fresh), more=self.more.unionByName(met))
+        return grown._filled(fresh, 1)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take back the documents in column doc_id; ids that the index doesn't hold change nothing."""
         gone = doc_ids.select("doc_id").distinct()
         taken = self.postings.join(gone, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("less"))
-        left = durable(self.postings.join(gone, "doc_id", "left_anti").select("key", "doc_id"))
-        touched = self.counts.join(taken, "key")
+        left = written(self.postings.join(gone, "doc_id", "left_anti").select("key", "doc_id"))
+        counts = written(self.counts)
+        touched = counts.join(taken, "key")
         first = left.join(touched.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("first_now"))
-        now = durable(touched.join(first, "key", "left").select("key", (F.col("n_docs") - F.col("less")).alias("n_docs"), F.col("first_now").alias("first_doc")))
-        counts = durable(self.counts.join(now, "key", "left_anti").unionByName(now.where("n_docs > 0")))
-        return replace(self, postings=left, counts=counts)._filled(now.where("n_docs = 0"), -1)
+        now = written(touched.join(first, "key", "left").select("key", (F.col("n_docs") - F.col("less")).alias("n_docs"), F.col("first_now").alias("first_doc")))
+        counts = written(counts.join(now, "key", "left_anti").unionByName(now.where("n_docs > 0")))
+        return replace(self, postings=left, fresh=counts, more=self.more.limit(0))._filled(now.where("n_docs = 0"), -1)
+
+    def repeated(self) -> DataFrame:
+        """(key, first_doc, n): keys of several documents. Keys that came once and in one document only are not counted again."""
+        again = self.more.select("key", F.lit(True).alias("again")).distinct()
+        rows = self.fresh.join(again, "key", "left").where("n_docs > 1 or again").select(*self.more.columns).unionByName(self.more)
+        return _summed(rows).where("n_docs > 1").select("key", "first_doc", F.col("n_docs").alias("n"))
 
     def drops(self) -> DataFrame:
         """(doc_id, __drops): the keys each document loses, those of several documents in all but the smallest."""
-        repeated = self.counts.where("n_docs > 1").select("key", "first_doc")
-        return (
-            self.postings.join(repeated, "key").where("doc_id <> first_doc")
-            .groupBy("doc_id").agg(F.collect_list("key").alias("__drops"))
-        )
+        lost = skew_join(self.postings, written(self.repeated()), "key", "doc_id").where("doc_id <> first_doc")
+        return lost.groupBy("doc_id").agg(F.collect_list("key").alias("__drops"))
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -244,6 +279,15 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     return rewrite(docs.join(drops, "doc_id", "left"), ["text", "__drops"], "text string, n_lines long, n_dropped long", work)
 
 
+def index_of(docs: DataFrame, *, batches: int = BATCHES) -> LineIndex:
+    """All of ``docs``, inserted in parts by a hash of doc_id; texts are read once."""
+    index = LineIndex.empty(docs.sparkSession)
+    postings = written(line_postings(docs).distinct())
+    for part in range(batches):
+        index = index._insert(postings.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == part), float(batches))
+    return index
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Index all of ``docs`` and drop their repeated lines."""
-    return drop_lines(docs, LineIndex.empty(docs.sparkSession).insert(docs).drops())
+    return drop_lines(docs, index_of(docs).drops())
