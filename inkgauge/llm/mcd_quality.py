@@ -2,14 +2,22 @@
 
 Each text gives counts (words, their characters, symbols, repeated lines and repeated windows of words). Texts that fail
 the base rules are out. The others' counts become a vector of five transformed statistics (``FEATURES``), held as
-integers of 1e-4, so that sums are exact and don't depend on the order of rows. For each language and source a minimum-
-covariance-determinant estimate starts at medians and median deviations and takes ``STEPS`` concentration steps: mean and
-covariance of the ``CORE`` share of vectors with the smallest distances, then new distances. Quantiles come from
-histograms of a bounded number of buckets, which are pre-aggregated, so a source that holds a third of all rows is a few
-hundred rows in a shuffle. Vectors whose squared Mahalanobis distance is above ``CUTOFF`` are rejected.
-
-Groups of fewer than ``LEAST`` texts are pooled per language, languages with fewer over all; with fewer in all, none is rejected. Null language or source are
-values of their own. A null text has no words and fails. Repeated rows count and are judged each. Texts are taken whole.
+integers of 1e-4, so that sums are exact and don't depend on the order of rows. Each language and source gets a minimum-
+covariance-determinant estimate. Concentration steps (mean and covariance of the ``CORE`` share of vectors with the smallest
+distances, then new distances) run from several starts at once: the vectors are put in units of median deviations
+from the medians, and a start takes those nearest by all features together, by the worst one, by the text's length and
+words alone, or by symbols and repeats alone. After ``FIRST_STEPS`` steps the start of the smallest determinant goes on until
+no determinant falls, at most ``STEPS`` steps more; a step that doesn't lower it is not taken. Every covariance has the
+features' granted variances on its diagonal, so the determinant is the regularised one, and a constant statistic rejects
+nothing for a trifle. Quantiles are exact percentiles of bounded numbers of buckets, counted before the shuffle, so a source
+that holds a third of all rows is one small row per task. Vectors whose squared Mahalanobis distance is above ``CUTOFF``, times what
+the core's distances exceed the chi-squared distribution's, are rejected.
+
+A language and source of fewer than ``least`` texts (``LEAST``: five per feature) can't bear an estimate of its own: it is judged by its
+language's, a language with fewer by that of all texts; with fewer in all, none is rejected. Column ``estimate`` says which one judged
+a text: source, language, all, or null for none and for texts that fail the base rules. Null language or source are
+values of their own. A null text has no words and fails. Repeated rows count and are judged each. Texts are taken whole. An empty table gives
+an empty result. Only doc_id, text, lang and source are read, other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,12 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import BLANKS, durable
+from inkgauge.llm.common import BLANKS, written
 
 SYMBOLS = "#*$%&|<>"
 #: Base rules: fewest words, and the share of words in repeated 5-word windows in percent.
 MIN_WORDS, MAX_REPEAT = 10, 20
-LEAST, STEPS, CORE = 100, 3, 0.75
+LEAST, FIRST_STEPS, STEPS, CORE = 25, 2, 6, 0.75
 #: Chi-squared with 5 degrees of freedom: its 0.75 quantile, and the usual one at 0.999.
 CHI2_CORE, CUTOFF = 6.6257, 20.515
 SCALE = 10_000
@@ -38,7 +46,10 @@ FEATURES: list[tuple[str, float]] = [
     ("sqrt(n_repeat_words / (n_words + 20))", 0.1),
 ]
 _P = range(len(FEATURES))
-_SPREAD = 4  # buckets per unit of ln(distance), for quantiles of distances
+#: Features whose deviations make a start's first distance, and whether the worst counts alone.
+STARTS: list[tuple[tuple[int, ...], bool]] = [((0, 1, 2, 3, 4), False), ((0, 1, 2, 3, 4), True), ((0, 1), False), ((2, 3, 4), False)]
+#: Width of a bucket of a feature in units of 1 / SCALE, and buckets per unit of ln(distance), for quantiles.
+WIDTH, SPREAD = 50, 32
 
 
 def base_counts(docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -80,108 +91,113 @@ def vectors(counts: DataFrame) -> DataFrame:
     return counts.where(~base_failed()).select("lang", "source", *xs).groupBy("lang", "source", *[f"x{i}" for i in _P]).agg(F.count("*").alias("n"))
 
 
-def groups_of(rows: DataFrame) -> DataFrame:
-    """(of_lang, of_source, grp): the group whose estimate judges a language and source; null if there are too few texts."""
-    sizes = durable(rows.groupBy("lang", "source").agg(F.sum("n").alias("n")))
+def groups_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """(of_lang, of_source, grp, estimate): the group whose estimate judges a language and source; null if there are too few texts."""
+    sizes = written(rows.groupBy("lang", "source").agg(F.sum("n").alias("n")))
     langs = sizes.groupBy(F.col("lang").alias("of_lang")).agg(F.sum("n").alias("n_lang"))
     n_all = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     key = F.to_json(F.struct("lang", "source"))
-    return sizes.join(langs, F.col("lang").eqNullSafe(F.col("of_lang"))).select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"),
-        F.when(F.col("n") >= LEAST, F.concat(F.lit("s"), key)).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l"), F.to_json(F.struct("lang"))))
-        .otherwise(F.lit("all" if n_all >= LEAST else None)).alias("grp"))
+    level = F.when(F.col("n") >= least, "source").when(F.col("n_lang") >= least, "language").otherwise(F.lit("all" if n_all >= least else None))
+    rows = sizes.join(langs, F.col("lang").eqNullSafe(F.col("of_lang"))).select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "lang", key.alias("key"), level.alias("estimate"))
+    grp = F.when(F.col("estimate") == "source", F.concat(F.lit("s"), "key")).when(F.col("estimate") == "language", F.concat(F.lit("l"), F.to_json(F.struct("lang")))).otherwise(F.col("estimate"))
+    return rows.select("of_lang", "of_source", grp.alias("grp"), "estimate")
 
 
-def _quantile(buckets: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """keys, q: the smallest ``value`` with at least ``share`` of the count n at or below it, from pre-aggregated buckets."""
-    from pyspark.sql import Window
-
-    # Within a key there is a row per bucket, a bounded number.
-    by = Window.partitionBy(*keys)
-    running = buckets.withColumn("until", F.sum("n").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(by))
-    return running.where(F.col("until") >= F.ceil(F.col("total") * F.lit(share))).groupBy(*keys).agg(F.min(value).alias("q"))
+def _bucket(d: Column) -> Column:
+    return F.floor(F.ln(d + F.lit(1e-6)) * F.lit(float(SPREAD))).cast("int")
 
 
-def _long(rows: DataFrame, value, step: int) -> DataFrame:
-    """A row per vector and feature, then counts per bucket of ``step``."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.expr(f"round({value(i)} / {step})").cast("long").alias("v")) for i in _P]))
-    return rows.select("grp", "n", each.alias("e")).groupBy("grp", "e.f", "e.v").agg(F.sum("n").alias("n"))
+def _total(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
-def _pivot(q: DataFrame, name: str, step: int) -> DataFrame:
-    return q.groupBy("grp").agg(*[F.max(F.when(F.col("f") == i, F.col("q") * step)).alias(f"{name}{i}") for i in _P])
+def _first_distances(rows: DataFrame) -> DataFrame:
+    """``rows`` once per start, with start and d, the start's first distance."""
+    bucket = lambda x: F.round(x / WIDTH).cast("long")
+    middle = lambda x: F.percentile(bucket(x), 0.5, F.col("n")) * WIDTH
+    median = written(rows.groupBy("grp").agg(*[middle(F.col(f"x{i}")).alias(f"m{i}") for i in _P]))
+    off = rows.join(median, "grp")
+    spread = written(off.groupBy("grp").agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"a{i}") for i in _P]))
+    z = [F.pow((F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FEATURES[i][1] * SCALE)), F.lit(2)) for i in _P]
+    first = [F.struct(F.lit(k).alias("start"), (F.greatest(*[z[i] for i in of]) if worst else _total([z[i] for i in of])).alias("d")) for k, (of, worst) in enumerate(STARTS)]
+    return off.join(spread, "grp").select(*rows.columns, F.inline(F.array(*first)))
 
 
-def _bucket(d: Column) -> Column:
-    return F.floor(F.ln(d + F.lit(1e-6)) * F.lit(_SPREAD * 8.0)).cast("int")
+def _core(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vectors of the smallest distances, and (grp, start, q): the bucket that ends them."""
+    ends = written(measured.groupBy("grp", "start").agg(F.floor(F.percentile(_bucket(F.col("d")), CORE, F.col("n"))).alias("q")))
+    return measured.join(ends, ["grp", "start"]).where(_bucket(F.col("d")) <= F.col("q")).drop("q", "d"), ends
 
 
 def _concentrate(near: DataFrame) -> DataFrame:
-    """grp, m0.., l00..: mean and Cholesky factor of the covariance of ``near`` (weights n), in units of SCALE."""
+    """grp, start, m0.., l00.., ln_det: mean of ``near`` (weights n), Cholesky factor of its covariance in units of SCALE, ln of the determinant."""
     exact = lambda c: F.sum((c).cast("decimal(28,0)"))
     n = F.col("n")
     sums = [exact(F.col(f"x{i}") * n).cast("double").alias(f"s{i}") for i in _P]
     prods = [exact(F.col(f"x{i}").cast("decimal(14,0)") * F.col(f"x{j}") * n).cast("double").alias(f"p{i}{j}") for i in _P for j in range(i + 1)]
-    rows = near.groupBy("grp").agg(F.sum("n").cast("double").alias("w"), *sums, *prods)
-    rows = rows.select("grp", *[(F.col(f"s{i}") / F.col("w") / SCALE).alias(f"m{i}") for i in _P], *[
+    rows = near.groupBy("grp", "start").agg(F.sum("n").cast("double").alias("w"), *sums, *prods)
+    rows = rows.select("grp", "start", *[(F.col(f"s{i}") / F.col("w") / SCALE).alias(f"m{i}") for i in _P], *[
         (F.col(f"p{i}{j}") / F.col("w") / SCALE**2 - F.col(f"s{i}") / F.col("w") / SCALE * (F.col(f"s{j}") / F.col("w") / SCALE)
          + F.lit(FEATURES[i][1] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in _P for j in range(i + 1)])
     for j in _P:  # one column of the factor after the other
-        inner = lambda i, j: reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
+        inner = lambda i, j: _total([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)])
         rows = rows.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner(j, j), F.lit(1e-9))))
         rows = rows.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - inner(i, j)) / F.col(f"l{j}{j}") for i in range(j + 1, len(FEATURES))}) if j + 1 < len(FEATURES) else rows
-    return durable(rows.select("grp", *[f"m{i}" for i in _P], *[f"l{i}{j}" for i in _P for j in range(i + 1)]))
+    ln_det = _total([2 * F.ln(F.col(f"l{j}{j}")) for j in _P])
+    return written(rows.select("grp", "start", *_MODEL, ln_det.alias("ln_det")))
+
+
+_MODEL = [f"m{i}" for i in _P] + [f"l{i}{j}" for i in _P for j in range(i + 1)]
 
 
 def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` with d, the squared Mahalanobis distance: forward substitution in the Cholesky factor."""
-    joined = rows.join(model, "grp")
+    """``rows`` with start and d, the squared Mahalanobis distance: forward substitution in the Cholesky factor."""
+    joined = rows.join(model, ["grp", "start"] if "start" in rows.columns else "grp")
     for i in _P:
-        rest = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)], F.lit(0.0))
+        rest = _total([F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)])
         joined = joined.withColumn(f"z{i}", (F.col(f"x{i}") / F.lit(float(SCALE)) - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
-    d = reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in _P])
-    return joined.select(*rows.columns, d.alias("d"))
-
-
-def _core(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The vectors of the smallest distances, and (grp, q): the bucket that ends them."""
-    buckets = measured.groupBy("grp", _bucket(F.col("d")).alias("b")).agg(F.sum("n").alias("n"))
-    ends = durable(_quantile(buckets, ["grp"], "b", CORE))
-    return measured.join(ends, "grp").where(_bucket(F.col("d")) <= F.col("q")).drop("q"), ends
+    return joined.select(*[c for c in rows.columns if c != "start"], "start", _total([F.col(f"z{i}") * F.col(f"z{i}") for i in _P]).alias("d"))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """(grp, m.., l.., cut): location, scatter, and the squared distance above which a vector is rejected, from (grp, x.., n)."""
-    median = durable(_pivot(_quantile(_long(rows, lambda i: f"x{i}", 50), ["grp", "f"], "v", 0.5), "m", 50))
-    off = rows.join(median, "grp")
-    spread = durable(_pivot(_quantile(_long(off, lambda i: f"abs(x{i} - m{i})", 50), ["grp", "f"], "v", 0.5), "a", 50))
-    off = off.join(spread, "grp")
-    first = reduce(lambda a, b: a + b, [F.pow((F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FEATURES[i][1] * SCALE)), F.lit(2)) for i in _P])
-    core, _ = _core(off.withColumn("d", first).select(*rows.columns, "d"))
+    """(grp, start, m.., l.., ln_det, cut): location, scatter, and the squared distance above which a vector is rejected, from (grp, x.., n)."""
+    started = written(_first_distances(rows))
+    core, _ = _core(started)
+    for _ in range(FIRST_STEPS):
+        model = _concentrate(core)
+        core, _ = _core(_distances(started.drop("d"), model))
+    every = _concentrate(core)
+    best = every.groupBy("grp").agg(F.min_by("start", F.struct("ln_det", "start")).alias("start"))
+    model = written(every.join(best, ["grp", "start"]))
+    core, ends = _core(_distances(rows, model))
     for _ in range(STEPS):
-        model = _concentrate(core.drop("d"))
+        new = _concentrate(core)
+        better = written(new.join(model.select("grp", F.col("ln_det").alias("old")), "grp").where("ln_det < old - 1e-9").drop("old"))
+        if better.isEmpty():
+            break
+        model = written(model.join(better, "grp", "left_anti").unionByName(better))
         core, ends = _core(_distances(rows, model))
     # A group tighter than the granted deviations is not blown up to fit the chi-squared distribution.
-    widen = F.greatest(F.lit(1.0), F.exp((F.col("q") + 1) / F.lit(_SPREAD * 8.0)) / CHI2_CORE)
-    return durable(model.join(ends, "grp").withColumn("cut", widen * CUTOFF).drop("q"))
+    widen = F.greatest(F.lit(1.0), F.exp((F.col("q") + 1) / F.lit(float(SPREAD))) / CHI2_CORE)
+    return written(model.join(ends, ["grp", "start"]).withColumn("cut", widen * CUTOFF).drop("q"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept of each row."""
+def judge(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and estimate of each row."""
     counts = base_counts(docs, ["doc_id", "lang", "source"])
     # The texts' counts are made once and then judged: a small table beside the texts.
-    counts = durable(counts.withColumn("base_failed", base_failed()))
-    rows = durable(vectors(counts))
-    groups = durable(groups_of(rows))
+    counts = written(counts.withColumn("base_failed", base_failed()))
+    rows = written(vectors(counts))
+    groups = written(groups_of(rows, least))
     on = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    placed = durable(rows.join(groups, on).drop("of_lang", "of_source").where("grp is not null"))
-    model = estimate(placed.groupBy("grp", *[f"x{i}" for i in _P]).agg(F.sum("n").alias("n")))
+    placed = written(rows.join(groups, on).drop("of_lang", "of_source", "estimate").where("grp is not null"))
+    model = estimate(written(placed.groupBy("grp", *[f"x{i}" for i in _P]).agg(F.sum("n").alias("n"))))
     # Each distinct vector is judged once per group, and the rejected ones, few, are looked up.
-    out = _distances(placed, model.drop("cut")).join(model.select("grp", "cut"), "grp").where("d > cut")
-    rejected = durable(out.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[F.col(f"x{i}").alias(f"y{i}") for i in _P], F.lit(True).alias("outlier")).distinct())
+    out = _distances(placed, model.drop("cut", "ln_det")).join(model.select("grp", "cut"), "grp").where("d > cut")
+    rejected = written(out.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[F.col(f"x{i}").alias(f"y{i}") for i in _P], F.lit(True).alias("outlier")).distinct())
     xs = [F.round(F.expr(sql) * SCALE).cast("long").alias(f"x{i}") for i, (sql, _) in enumerate(FEATURES)]
-    marked = counts.select("*", *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(xs)])
+    marked = counts.join(groups.drop("grp"), on, "left").drop("of_lang", "of_source").select("*", *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(xs)])
     same = reduce(lambda a, b: a & b, [F.col(f"x{i}") == F.col(f"y{i}") for i in _P])
     return marked.join(rejected, on & same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("outlier").isNull()).alias("kept"))
+        (~F.col("base_failed") & F.col("outlier").isNull()).alias("kept"), F.when(~F.col("base_failed"), F.col("estimate")).alias("estimate"))
