@@ -230,20 +230,23 @@ def _remove(mark: int) -> None:
             continue
 
 
-def skew_join(rows: DataFrame, index: DataFrame, key: str, spread: str) -> DataFrame:
-    """Inner join of ``rows`` with ``index``, which has one row per ``key`` and in column ``n`` the number of rows with it.
+def skew_join(rows: DataFrame, other: DataFrame, key: str, spread: str, *, index: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` and ``other`` on ``key`` that splits frequent keys.
 
-    Keys that would fill a good part of a task are split: their rows are dealt by a hash of column ``spread`` over pieces,
-    and the index row is repeated for each piece. At most PIECES keys per shuffle partition can be so frequent, which bounds
-    what is broadcast. ``index`` should be a written table; ``n`` isn't in the result.
+    ``index`` (``other`` itself by default) has one row per key and in column ``n`` the number of rows with it. Keys that would
+    fill a good part of a task are dealt by a hash of column ``spread`` over pieces, and the other side's rows are repeated for
+    each piece. At most PIECES keys per shuffle partition can be so frequent, which bounds what is broadcast. ``index`` should
+    be a written table; its ``n`` isn't in the result.
     """
     spark = rows.sparkSession
+    own = index is None
+    index = other if own else index
     total = index.agg(F.sum("n")).first()[0] or 0
     piece = max(LEAST_PIECE, total // (PIECES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    pieces = F.when(F.col("n") > piece, F.ceil(F.col("n") / piece).cast("int")).otherwise(F.lit(1))
-    heavy = index.where(F.col("n") > piece).select(key, pieces.alias("__pieces"))
-    dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__pieces")), F.lit(0)).cast("int")).drop("__pieces")
-    copies = index.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    heavy = F.broadcast(index.where(F.col("n") > piece).select(key, F.ceil(F.col("n") / piece).cast("int").alias("__pieces")))
+    dealt = rows.join(heavy, key, "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__pieces")), F.lit(0)).cast("int")).drop("__pieces")
+    copies = other.drop("n") if own else other
+    copies = copies.join(heavy, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
     return dealt.join(copies, [key, "__piece"]).drop("__piece")
 
 

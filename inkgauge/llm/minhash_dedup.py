@@ -6,17 +6,21 @@ element goes to bin b, so that each coordinate is filled, and a bin keeps its sm
 rounds fill all bins, which costs a few hashes per element in place of one per coordinate, with the concentration of
 independent MinHashes. The first coordinates form ``BANDS`` bands of ``ROWS``; two sets of similarity 0.75 share no band with
 probability (1 - 0.75^4)^32 = 5e-6, more similar ones far less. A bit of every coordinate estimates a candidate's
-similarity inside the join, before a row is made: pairs whose bits differ by over 4.5 standard deviations more than those
+similarity to its leader: pairs whose bits differ by over 4.5 standard deviations more than those
 of similarity 0.75 are let go (3e-6 of such pairs), which spares texts that only share a common passage.
 
 Equal sets are one class from the start, so that copies cost one row. In every bucket (classes that share a band) members
 are verified against one leader, links are merged to components, and this repeats with other leaders for buckets that
-still hold several components; at the end, members outside a bucket's largest component are compared with all members
-of other components in the bucket. So each pair that shares a bucket is verified or already connected: no cap, no pairs
-inside a component. Links are confirmed on full sets: 100 * |A n B| >= 75 * |A u B|.
+still hold several components. What is left, members outside a bucket's largest component against all members of other
+components, goes through an exact prefix join: the sets' shingles are ordered by their frequency among these classes, rarest first,
+and two sets can only link if they share a shingle at places that leave enough shingles behind it in both. Texts that share
+a common part but fall short of the limit thus meet in few candidates or none, since their rare shingles come first. So each
+pair that shares a bucket is verified, ruled out exactly, or already connected: no cap, no pairs inside a component. Links are
+confirmed on full sets: 100 * |A n B| >= 75 * |A u B|. Joins on buckets, leaders and shingles split frequent keys.
 
 Null texts and texts without words have the empty set and are linked with nothing. Rows that share a doc_id are one
-document, linked. Rows with a null doc_id are returned alone, with a null component, and are no one's link.
+document, linked. Rows with a null doc_id are returned alone, with a null component, and are no one's link. An empty table
+gives an empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,16 +29,16 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import WordHash, distinct_sorted, durable, map_slices, mix, signed, windows, written
+from inkgauge.llm.common import WordHash, distinct_sorted, freed, map_slices, mix, signed, skew_join, windows, written
 from inkgauge.llm.components import smallest_reachable
 
 WORDS, BINS, BANDS, ROWS, BITS = 5, 1024, 32, 4, 1
 #: A link needs NUMERATOR * union <= DENOMINATOR * intersection.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Rounds of leaders before the exhaustive comparison of what is left.
+#: Rounds of leaders before the prefix join of what is left.
 LEADER_ROUNDS = 2
 #: Ids up to which a list of classes is broadcast.
 BROADCAST_IDS = 1_000_000
@@ -133,15 +137,19 @@ def _of(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, on, "left_semi")
 
 
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return written(rows.groupBy(key).agg(F.count("*").alias("n")))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of those candidate pairs (a, n_a, b, n_b) that link by their full sets."""
     sizes = (F.least("n_a", "n_b") * DENOMINATOR) >= (F.greatest("n_a", "n_b") * NUMERATOR)
-    pairs = written(pairs.where(sizes).distinct())
-    ends = pairs.select(F.col("a").alias("class")).distinct().unionByName(pairs.select(F.col("b").alias("class")).distinct())
-    needed = written(ends.distinct())
+    pairs = written(pairs.where(sizes).select("a", "b").distinct())
+    by_a, by_b = _counted(pairs, "a"), _counted(pairs, "b")
+    needed = written(by_a.select(F.col("a").alias("class")).unionByName(by_b.select(F.col("b").alias("class"))).distinct())
     sets = _of(sets, needed, "class")
-    left = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b")), "b")
+    left = skew_join(pairs, sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a")), "a", "b", index=by_a)
+    both = skew_join(left, sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b")), "b", "a", index=by_b)
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return both.where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b").distinct()
@@ -149,28 +157,32 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    rows = durable(sketches(docs))
-    classes = durable(
+    with freed() as keep:
+        return keep(_components(docs))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    rows = written(sketches(docs))
+    classes = written(
         rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
         .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
     )
     members = classes.select("class", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(members.join(buckets, "band"))
+    buckets = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")))
+    members = written(skew_join(members, buckets, "band", "class"))
     # A class whose buckets are large is near the middle of its group: the text that others were made from.
-    central = members.groupBy("class").agg(F.sum("size").alias("weight"))
-    traits = classes.select("class", "n", "bands", *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(_WORDS64)])
-    members = written(members.drop("size").join(central, "class").join(traits, "class"))
+    central = written(members.groupBy("class").agg(F.sum("size").alias("weight")))
+    members = written(members.join(central, "class"))
     # Only classes that share a bucket are ever compared: their sets are made once more from the texts and kept.
-    wanted = written(members.select("class").distinct())
-    sets = written(sets_of(_of(docs.select(F.col("doc_id").alias("class"), "text"), wanted, "class")))
+    traits = written(_of(classes.select("class", "n", *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(_WORDS64)]), central.select("class"), "class"))
+    sets = written(sets_of(_of(docs.select(F.col("doc_id").alias("class"), "text"), central.select("class"), "class")))
     links = written(_same_documents(rows))
     roots = smallest_reachable(links)
     for turn in range(LEADER_ROUNDS + 1):
-        open_members = _open(members, roots)
+        open_members = _open(members, buckets, roots)
         if open_members.isEmpty():
             break
-        pairs = _leader_pairs(open_members, turn) if turn < LEADER_ROUNDS else _remaining_pairs(open_members)
+        pairs = _leader_pairs(open_members, traits, turn) if turn < LEADER_ROUNDS else _remaining_pairs(open_members, traits, sets)
         links = written(links.unionByName(verified(pairs, sets)))
         roots = smallest_reachable(links)
     out = rows.join(classes.select("set_key", "class"), "set_key", "left")
@@ -186,16 +198,16 @@ def _same_documents(rows: DataFrame) -> DataFrame:
     return written(keyed.join(several, "doc_id").join(least, "set_key").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).where("a <> b").distinct())
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(members: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their component and the bucket's largest one, of buckets that hold several components."""
-    now = members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("band", "class", "n", "weight", "bands", *_WORDS64, F.coalesce("root", "class").alias("root"))
-    sizes = now.groupBy("band", "root").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("size", "root")).alias("largest")).where("lo < hi").select("band", "largest")
-    return written(now.join(mixed, "band"))
+    now = written(members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("band", "class", "size", "weight", F.coalesce("root", "class").alias("root")))
+    counts = now.groupBy("band", "root").agg(F.count("*").alias("size"))
+    mixed = counts.groupBy("band").agg(F.sum("size").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("size", "root")).alias("largest"))
+    return written(skew_join(now, written(mixed.where("lo < hi").select("band", "n", "largest")), "band", "class"))
 
 
-def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """A pair for each class: with the weightiest leader of its buckets.
+def _leader_pairs(members: DataFrame, traits: DataFrame, turn: int) -> DataFrame:
+    """A pair for each class: with the weightiest plausible leader of its buckets.
 
     First a bucket's leader is its weightiest member, then the weightiest of its largest component, for members outside it,
     then the weightiest outside it.
@@ -207,11 +219,16 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
         from_ = members.where("root = largest")
     else:
         from_ = members.where("root <> largest")
-    lead = F.struct("weight", "class", "n", "root", *_WORDS64)
-    leaders = written(from_.groupBy("band").agg(F.max_by(lead, rank).alias("leader")))
-    asked = members.join(leaders, "band").where("root <> leader.root").where(_plausible([F.col(w) for w in _WORDS64], [F.col(f"leader.{w}") for w in _WORDS64]))
-    best = asked.groupBy("class", "n").agg(F.max(F.struct("leader.weight", "leader.class", "leader.n")).alias("leader"))
-    return best.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("leader.class").alias("b"), F.col("leader.n").alias("n_b"))
+    lead = F.struct("weight", "class", "root")
+    leaders = written(from_.groupBy("band").agg(F.max("size").alias("n"), F.max_by(lead, rank).alias("leader")))
+    asked = skew_join(members, leaders, "band", "class").where("root <> leader.root")
+    pairs = written(asked.select("class", F.col("leader.class").alias("lead"), "leader.weight").distinct())
+    mine = pairs.join(traits, "class")
+    theirs = traits.select(F.col("class").alias("lead"), F.col("n").alias("n_lead"), *[F.col(w).alias(f"l{w}") for w in _WORDS64])
+    both = skew_join(mine, theirs, "lead", "class", index=_counted(pairs, "lead"))
+    both = both.where(_plausible([F.col(w) for w in _WORDS64], [F.col(f"l{w}") for w in _WORDS64]))
+    best = both.groupBy("class", "n").agg(F.max(F.struct("weight", "lead", "n_lead")).alias("best"))
+    return best.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("best.lead").alias("b"), F.col("best.n_lead").alias("n_b"))
 
 
 def _plausible(x: list[Column], y: list[Column]) -> Column:
@@ -219,17 +236,32 @@ def _plausible(x: list[Column], y: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)]) <= MOST_DIFFERING
 
 
-def _remaining_pairs(members: DataFrame) -> DataFrame:
-    """Members outside a bucket's largest component with all members of other components; the largest isn't compared with itself."""
-    side = lambda rows, x: rows.select("band", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"), (F.col("root") == F.col("largest")).alias(f"{x}_in_largest"), F.col("bands").alias(f"bands_{x}"), *[F.col(w).alias(f"{x}_{w}") for w in _WORDS64])
-    odd, other = side(members.where("root <> largest"), "a"), side(members, "b").withColumnRenamed("band", "band_b")
-    fits = (F.least("n_a", "n_b") * DENOMINATOR) >= (F.greatest("n_a", "n_b") * NUMERATOR)
-    # Pairs of two odd members would meet twice.
-    once = (F.col("a") < F.col("b")) | F.col("b_in_largest")
-    near = _plausible([F.col(f"a_{w}") for w in _WORDS64], [F.col(f"b_{w}") for w in _WORDS64])
-    # A pair that shares several bands is made in the first of them alone.
-    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
-    return odd.join(other, (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & once & fits & near & first).select("a", "n_a", "b", "n_b")
+def _remaining_pairs(members: DataFrame, traits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of open classes, in different components and not both in their buckets' largest, that may link by their rarest shingles.
+
+    With p shingles before the first common one in a set of n, at most n - p are common: both sides must leave
+    NUMERATOR / (NUMERATOR + DENOMINATOR) of the sizes' sum, which is what a link shares at least.
+    """
+    classes = members.groupBy("class").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("largest")).alias("odd"))
+    classes = written(classes.join(traits.select("class", "n"), "class"))
+    each = written(_of(sets, classes.select("class"), "class").select("class", F.explode("elements").alias("e")))
+    shared = written(each.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").withColumn("f", F.col("n")))
+    # Shingles of one class alone come first of all: only their number matters.
+    found = skew_join(each, shared, "e", "class").join(classes, "class")
+    mine = Window.partitionBy("class")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("f", "e")) - 1
+    prefix = written(found.withColumn("p", place).where((F.col("n") - F.col("p")) * DENOMINATOR >= F.col("n") * NUMERATOR).select("class", "root", "odd", "n", "e", "p"))
+    met = prefix.groupBy("e").agg(F.count("*").alias("n"), F.max("odd").alias("odd"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    met = written(met.where("odd and lo < hi").select("e", "n"))
+    side = lambda x: prefix.select("e", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "root", "odd", "n", "p")])
+    left = side("a").where("odd_a").join(met.select("e"), "e", "left_semi")
+    both = skew_join(left, side("b"), "e", "class_a", index=met)
+    total = (F.col("n_a") + F.col("n_b")) * NUMERATOR
+    enough = (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) * (NUMERATOR + DENOMINATOR)) >= total
+    # Pairs of two odd classes would meet twice.
+    once = (F.col("class_a") < F.col("class_b")) | ~F.col("odd_b")
+    pairs = both.where((F.col("root_a") != F.col("root_b")) & once & enough)
+    return pairs.select(F.col("class_a").alias("a"), "n_a", F.col("class_b").alias("b"), "n_b").distinct()
 
 
 def keep_smallest(docs: DataFrame) -> DataFrame:
