@@ -1,8 +1,9 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary compresses a text smallest wins.
 
-Learning takes a bounded, documented sample: of each language's labelled documents those with the smallest hash of
-doc_id, about ``SAMPLE_DOCS`` of them and at most ``DOC_BYTES`` bytes from the middle of each, joined to a dictionary of
-at most ``DICT_BYTES``. Predictions read whole texts.
+Learning takes a bounded, documented sample: of each language's labelled documents the ``SAMPLE_DOCS`` with the smallest hash of
+doc_id, at most ``DOC_BYTES`` bytes from the middle of each, joined to a dictionary of at most ``DICT_BYTES``. Every language
+is learned; all samples together take at most ``TOTAL_BYTES``, so that beyond some 200 languages each one's share, and with it
+the number of its sample documents, is smaller. Predictions read whole texts.
 
 Languages are only compared by dictionaries of one size, so none wins by length, and a small one does not cut the others:
 in the first round languages of similar sizes, the largest, compete, in each further round also those of half the size or
@@ -10,33 +11,37 @@ less, against the others' dictionaries cut to theirs. A language that joins in a
 by the margin and by no lower score than was found before; else what was found before stands. Below ``LEAST_BYTES`` there is one last round, in which still smaller
 dictionaries stay as they are: such languages win only texts that are much like the little that was learned.
 
-Each text is compressed once per language, short ones at a higher level, which finds shorter matches in the dictionary.
-Texts of over ``BLOCK_BYTES`` are compressed whole in equal blocks of at most that size, each from the dictionary anew, and
+Each text is compressed once per language and round. Texts of over ``BLOCK_BYTES`` are compressed whole in equal blocks of at most
+that size, each from the dictionary anew, and
 the sizes added up: what a dictionary saves is bounded, so in one piece the score would fall with the length. The
 score is 1 - smallest / second smallest of the sizes net of the frames' fixed bytes. A text is rejected if its score is below
 ``margin``, or if it has no letter (``und``, score 0). Ties go to the alphabetically first language with score 0 and so are rejected.
+A worker holds ``COMPRESSORS`` compressors at a time and takes a batch's texts language by language.
 
-Null or empty texts: ``und``. Rows with a null lang or doc_id teach nothing. Repeated rows are each predicted; a learner
-without labelled texts predicts ``und`` throughout. lang, source and doc_id are never inputs of a prediction.
+Null or empty texts: ``und``. Rows with a null lang or doc_id teach nothing. Repeated rows are each predicted, and count once in the
+sample; a learner
+without labelled texts predicts ``und`` throughout; an empty table gives an empty result. lang, source and doc_id are never inputs of
+a prediction. Columns other than doc_id, text and lang are not read and may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_slices, slices
+from inkgauge.llm.common import map_slices, slices, written
 
-#: Bounds of the learning sample: at most about 4 * 160 * 2 kB for four languages.
-SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 160, 2048, 112_640
-#: Languages that may be learned, the most frequent ones; more would need a table of dictionaries.
-MAX_LANGS = 64
-#: Texts of fewer bytes are compressed at the second, higher level.
-SHORT_BYTES, LEVEL, SHORT_LEVEL = 1024, 9, 12
+#: Bounds of the learning sample, per language and in all.
+SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, TOTAL_BYTES = 160, 2048, 112_640, 1 << 26
+LEVEL = 12
 #: Longer texts are compressed in blocks of at most so many bytes.
 BLOCK_BYTES = 16_384
 #: Dictionaries are not cut below this size.
 LEAST_BYTES = 4096
+#: Compressors that a worker holds, of about 2 MB each.
+COMPRESSORS = 32
 MARGIN = 0.005
 
 
@@ -48,22 +53,23 @@ def held_out_mask(doc_id: Column) -> Column:
 def learn(labelled: DataFrame) -> dict[str, bytes]:
     """Language to dictionary content, from doc_id, text and lang of ``labelled``. Only the bounded sample reaches the driver."""
     rows = labelled.where("doc_id is not null and lang is not null and length(text) > 0").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("draw"), "text")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    n_langs = sizes.count()
+    if not n_langs:
         return {}
+    docs = max(1, min(SAMPLE_DOCS, TOTAL_BYTES // (n_langs * DOC_BYTES)))
     # Twice the wanted share, so that sampling by hash seldom leaves fewer than wanted; the rest is cut below.
-    near = F.lit(False)
-    for lang, n in sizes:
-        near = near | ((F.col("lang") == lang) & (F.col("draw") < int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 40))))
+    near = sizes.select("lang", (F.least(F.lit(1.0), F.lit(2.0 * docs) / F.col("n")) * (1 << 40)).cast("long").alias("until"))
     middle = F.expr(f"substring(cast(text as binary), cast(greatest(1, (octet_length(text) - {DOC_BYTES}) div 2) as int), {DOC_BYTES})")
-    drawn = rows.where(near).select("lang", "draw", "doc_id", middle.alias("part"))
-    # A doc_id that repeats could exceed the share; the ordered limit keeps the bound whatever the rows are.
-    drawn = drawn.orderBy("draw", "doc_id", "part").limit(4 * SAMPLE_DOCS * len(sizes)).collect()
-    out: dict[str, bytes] = {}
-    for lang, _ in sizes:
-        parts = [bytes(r["part"]) for r in drawn if r["lang"] == lang][:SAMPLE_DOCS]
-        out[lang] = b"\n".join(reversed(parts))
-    return {k: v[-DICT_BYTES:] for k, v in sorted(out.items()) if v}
+    drawn = rows.join(near, "lang").where("draw < until").select("lang", "draw", "doc_id", middle.alias("part")).distinct()
+    # The limit per language keeps the bound whatever the rows are; tasks apply it before the shuffle.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "part"))
+    drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= docs).orderBy("lang", "nth").collect()
+    parts: dict[str, list[bytes]] = {}
+    for r in drawn:
+        parts.setdefault(r["lang"], []).append(bytes(r["part"]))
+    most = min(DICT_BYTES, docs * DOC_BYTES)
+    return {lang: b"\n".join(reversed(p))[-most:] for lang, p in sorted(parts.items()) if any(p)}
 
 
 def rounds(sizes: dict[str, int]) -> list[tuple[int, set[str], list[str]]]:
@@ -83,34 +89,45 @@ def rounds(sizes: dict[str, int]) -> list[tuple[int, set[str], list[str]]]:
 
 
 class Classifier:
-    """Compressors of each round and language; made once per task."""
+    """Predictions from dictionaries; compressors are made as they are needed and the last ones kept."""
 
     def __init__(self, dictionaries: dict[str, bytes], margin: float = MARGIN) -> None:
+        self.margin, self.dictionaries = margin, dictionaries
+        self.rounds = rounds({k: len(v) for k, v in dictionaries.items()})
+        self.compressor = functools.lru_cache(maxsize=COMPRESSORS)(self._compressor)
+
+    def _compressor(self, lang: str, size: int):
         import zstandard as z
 
-        self.margin, self.rounds = margin, []
-        for size, new, langs in rounds({k: len(v) for k, v in dictionaries.items()}):
-            fast, fine = [], []
-            for lang in langs:
-                for level, into in ((LEVEL, fast), (SHORT_LEVEL, fine)):
-                    own = z.ZstdCompressionDict(dictionaries[lang][-size:], dict_type=z.DICT_TYPE_RAWCONTENT)
-                    own.precompute_compress(level=level)
-                    into.append(z.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self.rounds.append((new, langs, fast, fine))
+        own = z.ZstdCompressionDict(self.dictionaries[lang][-size:], dict_type=z.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=LEVEL)
+        return z.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.rounds or not any(c.isalpha() for c in text):
-            return "und", 0.0
-        data = text.encode()
-        step = -(-len(data) // -(-len(data) // BLOCK_BYTES))
-        blocks = [data[at : at + step] for at in range(0, len(data), step)]
-        best = None
-        for new, langs, fast, fine in self.rounds:
-            sizes = sorted((max(1, sum(len(c.compress(b)) - 9 for b in blocks)), lang) for c, lang in zip(fine if len(data) < SHORT_BYTES else fast, langs, strict=True))
-            found = sizes[0][1], 1.0 if len(sizes) == 1 else 1 - sizes[0][0] / sizes[1][0]
-            if best is None or (found[0] in new and found[1] >= max(self.margin, best[1])):
-                best = found
-        return best
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.rounds:
+            return out
+        asked = [k for k, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
+        blocks = [_blocks(texts[k].encode()) for k in asked]
+        for turn, (size, new, langs) in enumerate(self.rounds):
+            sizes = []
+            for lang in langs:
+                compress = self.compressor(lang, size).compress
+                sizes.append([max(1, sum(len(compress(b)) - 9 for b in bs)) for bs in blocks])
+            for k, own in zip(asked, zip(*sizes, strict=True), strict=True):
+                first, *rest = sorted(zip(own, langs, strict=True))
+                found = first[1], 1 - first[0] / rest[0][0] if rest else 1.0
+                if not turn or (found[0] in new and found[1] >= max(self.margin, out[k][1])):
+                    out[k] = found
+        return out
+
+
+def _blocks(data: bytes) -> list[bytes]:
+    step = -(-len(data) // -(-len(data) // BLOCK_BYTES))
+    return [data[at : at + step] for at in range(0, len(data), step)]
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, margin: float = MARGIN) -> DataFrame:
@@ -122,7 +139,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, margin: float =
         classifier = Classifier(shared.value, margin)
 
         def run(ids: list, texts: list) -> list:
-            found = [classifier.predict(t) for t in texts]
+            found = classifier.predict_all(texts)
             return [ids, [x for x, _ in found], [s for _, s in found], [x == "und" or s < margin for x, s in found]]
 
         return run
@@ -148,7 +165,7 @@ def keep_identified(docs: DataFrame, *, margin: float = MARGIN) -> DataFrame:
         classifier = Classifier(shared.value, margin)
         for batch in batches:
             for part in slices(batch):
-                found = (classifier.predict(t) for t in part.column(at).to_pylist())
+                found = classifier.predict_all(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= margin for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
