@@ -38,10 +38,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from inkgauge import roundtrips  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from inkgauge import roundtrips  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -90,7 +94,7 @@ def benchmark_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {X.DOCUMENT_ESTIMATE_SQL} SELECT key AS doc_id, round(score, 8) AS confidence FROM est")
 def derived_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "documents").select("doc_id", r8(T.derived_confidence(F.col("text"), digits=None), "confidence"))
+    return T.with_derived_confidence(X.table(spark, sf_dir, "documents").select("doc_id", "text"), digits=None).select("doc_id", r8(F.col("confidence"), "confidence"))
 
 
 @query(f"WITH {X.DOCUMENT_ESTIMATE_SQL} SELECT key AS doc_id, n AS n_tokens, coalesce(best, 0) AS largest_repeat FROM est")

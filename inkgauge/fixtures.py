@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import derived_confidence
+from inkgauge.functions.text import with_derived_confidence
+from inkgauge.storage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +63,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, confidence derived from the whole text, is_acceptable = quality label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return docs.select("doc_id", derived_confidence(F.col("text"), digits=None).alias("confidence"), (F.col("quality") == 1).alias("is_acceptable"))
+    rows = with_derived_confidence(docs, digits=None).select("doc_id", "confidence", (F.col("quality") == 1).alias("is_acceptable"))
+    # Written, so that filters on the confidence don't make it once more below the join.
+    return written(rows)
 
 
 def _estimate(source: str, key: str, text: str) -> str:

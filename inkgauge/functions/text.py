@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -74,15 +74,21 @@ def char_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+#: Code points of the planes above the first, which hold no surrogates.
+_PLANES = 0x10000, 0x100000
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token arrays: distinct tokens become single characters, then the built-in distance.
 
-    Characters are taken from one plane of ideographs; a pair with over 20,992 distinct tokens raises an error rather than count wrongly.
+    Characters are taken from the 16 planes above the first: over a million distinct tokens in a pair, beyond which the distance,
+    which takes the product of both lengths, could not be had anyway; such a pair raises an error rather than count wrongly.
     """
+    first, most = _PLANES
     known = F.array_distinct(F.concat(a, b))
-    at = lambda t: F.array_position(known, t) + F.lit(0x4DFF)
-    code = lambda xs: F.array_join(F.transform(xs, lambda t: F.decode(F.unhex(F.lpad(F.hex(at(t)), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(known) <= 20_992, F.levenshtein(code(a), code(b))).otherwise(F.raise_error(F.lit("over 20992 distinct tokens in one pair")).cast("int"))
+    at = lambda t: F.array_position(known, t) + F.lit(first - 1)
+    code = lambda xs: F.array_join(F.transform(xs, lambda t: F.decode(F.unhex(F.lpad(F.hex(at(t)), 8, "0")), "UTF-32")), "")
+    return F.when(F.size(known) <= most, F.levenshtein(code(a), code(b))).otherwise(F.raise_error(F.lit(f"over {most} distinct tokens in one pair")).cast("int"))
 
 
 def error_rate(distance: Column, size: Column, hyp_size: Column) -> Column:
@@ -122,24 +128,43 @@ def largest_repeat(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(tokens), start, step, lambda acc: acc["best"])
 
 
-def derived_confidence(text: Column, *, digits: int | None = 4) -> Column:
-    """Plausibility of a text as clean English prose, 0.05 to 0.99; null for blank texts. digits=None: unrounded."""
-    tokens = split_words(text)
+def clean_words(text: Column) -> Column:
+    """Lower-cased tokens without characters that are neither letters, digits, underscore nor white space."""
+    return split_words(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}]", "")))
+
+
+def derived_confidence(text: Column, *, digits: int | None = 4, tokens: Column | None = None, clean: Column | None = None) -> Column:
+    """Plausibility of a text as clean English prose, 0.05 to 0.99; null for blank texts. digits=None: unrounded.
+
+    ``tokens`` and ``clean`` are split_words and clean_words of the text, if they are columns already: an expression is
+    evaluated once per use.
+    """
+    tokens = split_words(text) if tokens is None else tokens
+    clean = clean_words(text) if clean is None else clean
     n = F.size(tokens)
-    clean = F.filter(F.transform(tokens, lambda t: F.lower(F.regexp_replace(t, NON_WORD, ""))), lambda t: t != "")
-    plausible = F.size(F.filter(clean, lambda t: t.isin(VOCABULARY) | (F.char_length(t) <= 2) | t.rlike(ENDINGS)))
-    noise = F.size(F.filter(tokens, lambda t: t.rlike(NOISE)))
+    plausible = F.size(F.filter(clean, lambda t: (F.char_length(t) <= 2) | t.isin(VOCABULARY) | t.rlike(ENDINGS)))
+    # Few texts hold a noise character at all.
+    noise = F.when(text.rlike(NOISE), F.size(F.filter(tokens, lambda t: t.rlike(NOISE)))).otherwise(0)
     # n > 0 below, as blank texts are null; the parts are those of the formula, in its order of operations.
     mean_length = F.char_length(F.array_join(tokens, "")) / n
     lexical = (1.0 - plausible / F.greatest(F.lit(1), F.size(clean))) * 0.10
     fragments = (1.0 - F.size(clean) / n) * 0.15
     odd_length = F.when((mean_length > 15) | (mean_length < 2), 0.2).otherwise(0.0)
-    repeated = F.when((n > 10) & (largest_repeat(tokens) / n > 0.35), 0.3).otherwise(0.0)
+    # No token can repeat more often than tokens are left over by the distinct others.
+    most = (n - F.size(F.array_distinct(tokens)) + 1) / n
+    repeated = F.when((n > 10) & (most > 0.35) & (largest_repeat(tokens) / n > 0.35), 0.3).otherwise(0.0)
     score = F.lit(0.99) - lexical - noise / n * 0.50 - fragments - odd_length - repeated
     score = F.greatest(F.lit(0.05), F.least(F.lit(0.99), score))
     return F.when(n > 0, score if digits is None else F.round(score, digits))
 
 
+def with_derived_confidence(rows: DataFrame, text: str = "text", *, column: str = "confidence", digits: int | None = 4) -> DataFrame:
+    """``rows`` with the derived confidence of a text column; its tokens are made once."""
+    rows = rows.withColumn("__tokens", split_words(F.col(text))).withColumn("__clean", clean_words(F.col(text)))
+    score = derived_confidence(F.col(text), digits=digits, tokens=F.col("__tokens"), clean=F.col("__clean"))
+    return rows.withColumn(column, score).drop("__tokens", "__clean")
+
+
 def bin_label(lo: float, hi: float) -> str:
     return f"{lo:.1f}-{hi:.1f}"
 

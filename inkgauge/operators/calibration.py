@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.operators.reliability import with_confidence
 from inkgauge.schemas import CALIBRATOR
+from inkgauge.storage import written
 
 PLATT, ISOTONIC = ("platt", "platt_scaling"), ("isotonic", "isotonic_regression")
 STEPS, RATE = 300, 0.1
@@ -29,8 +30,9 @@ def fit(rows: DataFrame, method: str = "isotonic_regression", *, least: int = 2)
     """
     kind = _method(method)
     clean = with_confidence(rows).select("confidence", F.col("label").cast("int").alias("y")).where("y is not null")
-    # One row per distinct confidence carries all that either fit needs.
+    # One row per distinct confidence carries all that either fit needs; written, so that the facts are read once.
     stats = clean.groupBy("confidence").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    stats = written(stats) if kind != "none" else stats
     if kind == "platt":
         model = _fit_platt(stats, least)
     elif kind == "isotonic":
@@ -48,7 +50,7 @@ def _fit_platt(stats: DataFrame, least: int) -> DataFrame:
     """Full-batch gradient steps over the sums of each distinct confidence.
 
     Up to FOLD_POINTS distinct values (4-digit confidences have 10,001) fold in one row of one query. With more, each step is
-    a distributed sum and only its two numbers reach the driver.
+    a distributed sum over the written statistics and only its two numbers reach the driver.
     """
     spark = stats.sparkSession
     head = stats.agg(_fitted(least).alias("f"), F.sum("n").cast("double").alias("total"), F.count("*").alias("points")).first()
