@@ -8,6 +8,7 @@ of as many turns is dropped by an anti-join; of equal conversations the smallest
 
 Turns are ordered by (turn, role, text), nulls first. Null roles and texts count as empty strings and render so; rows
 with a null conv_id are left out, as they belong to no conversation. Repeated rows count as repeated turns. An empty table gives an empty result.
+Columns other than conv_id, turn, role and text are not read and may have any names; turns of any length are hashed and rendered whole.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ at once; a sequence without a mergeable pair leaves the arrays and its surviving
 the vocabulary as its UTF-8 bytes (byte fallback). A pair is merged at all its places of a sequence only if no merge it
 enables has a lower rank and its rank is not shared by another piece; else only at the leftmost, as the library does.
 
-Nulls count as empty texts: 0 bytes, 0 tokens. Texts of any length are counted whole: sequences of over
+Nulls count as empty texts: 0 bytes, 0 tokens. Repeated rows are each counted, a null doc_id is carried along, an empty table gives
+an empty result; columns other than doc_id and text are not read. Texts of any length are counted whole: sequences of over
 ``LONG`` symbols merge the same pairs in the same order from a heap, in n log n time.
 """
 

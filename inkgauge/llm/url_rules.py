@@ -10,7 +10,9 @@ stack's rules whose path fits, the longest (host and path characters, then host
 The sweep runs in parallel strips: a URL is put in one of ``strips`` by its row's place in its input split, and every strip gets all events.
 Events grow with the rules only, so no host, however frequent, fills one strip.
 
-Null URLs or URLs without ``://`` have an empty host and path and get the default verdict; repeated rows are each judged.
+Null URLs or URLs without ``://`` have an empty host and path and get the default verdict; repeated rows are each judged. An empty table gives
+an empty result, and without rules every URL gets the default verdict. URLs of any length are judged whole. Columns named host, path, rule
+and verdict are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -97,4 +99,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """host, path, verdict of a fixed list."""
     rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
-    return spark.range(1).select(F.inline(rows))
+    return spark.range(1).select(F.inline(rows.cast("array<struct<host:string,path:string,verdict:string>>")))

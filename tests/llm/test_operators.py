@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -61,6 +62,33 @@ def test_near_duplicate_groups_without_a_centre(spark):
     assert got == brute.components(docs)
 
 
+def test_near_misses_make_no_pairs(spark, monkeypatch):
+    # Texts that share 200 words of 280: similarity about 0.70, so no links, and no candidate for each pair either.
+    made = []
+    known = minhash_dedup._remaining_pairs
+
+    def counted(*a):
+        pairs = known(*a)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash_dedup, "_remaining_pairs", counted)
+    rng = random.Random(4)
+    docs = [(i, " ".join([f"c{k}" for k in range(200)] + [f"u{i}x{k}" for k in range(80 + rng.randint(-3, 3))])) for i in range(150)]
+    # A late link between two of them must still be found.
+    docs.append((500, docs[9][1] + " more words at the end"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.link_components(frame(spark, docs)).collect()}
+    assert got == brute.components(docs) and got[500][1] == 9
+    assert sum(made) < len(docs)
+
+
+def test_frequent_keys_are_split_and_lose_nothing(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id") % 500).cast("long").alias("k"), F.col("id").alias("v"))
+    index = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    got = common.skew_join(rows, index, "k", "v")
+    assert sorted(map(tuple, got.select("k", "v", "low").collect())) == sorted(map(tuple, rows.join(index.drop("n"), "k").select("k", "v", "low").collect()))
+
+
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 600).astype(np.uint64)
@@ -88,6 +116,37 @@ def test_substring_dedup_boundaries(spark):
     assert got == brute.without_repeats(docs)
 
 
+def test_rows_of_one_id_are_parsed_by_themselves(spark):
+    passage = [f"p{i}" for i in range(80)]
+    a, b, c = (" ".join([f"{x}{i}" for i in range(45)] + passage) for x in "abc")
+    own = " ".join(f"own{i}" for i in range(90))
+    # Row (3, c) would continue at the displacement of row (2, b) if both were one reference.
+    rows = [(0, a), (1, b), (1, own), (2, own), (2, b), (3, c), (3, c), (4, " ".join(passage[:60]))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in rlz_substring.remove_repeats(frame(spark, rows)).collect())
+    want = []
+    for i, t in rows:
+        before = [(j, x) for j, x in rows if j < i]
+        want.append((i, *brute.without_repeats([*((k, x) for k, (_, x) in enumerate(before)), (10**6, t)])[10**6]))
+    assert got == sorted((i, n, gone, x.decode()) for i, n, gone, x in want)
+    assert [x[2] for x in got if x[3] == own] == [0]
+    lines = [(0, "a line that repeats\nown line of zero"), (1, "A LINE that repeats \nkept line of one"), (1, "kept line of one\nsome other line"), (2, "kept line of one")]
+    found = sorted((r.doc_id, r.text) for r in cuckoo_lines.dedup_lines(frame(spark, lines)).collect())
+    assert found == [(0, lines[0][1]), (1, "kept line of one"), (1, "kept line of one\nsome other line"), (2, "")]
+
+
+def test_line_dedup_rests_on_the_filters(spark):
+    docs = [(i, f"the same line of all\nonly in document {i}") for i in range(8)]
+    first, second = frame(spark, docs[:1]), frame(spark, docs[1:2])
+    index = cuckoo_lines.LineIndex.empty(spark).insert(first)
+    lost = lambda x: sorted(r.doc_id for r in x.drops().collect())
+    assert lost(index.insert(second)) == [1]
+    # A filter that forgets makes known keys look new: they are then counted apart.
+    lying = replace(index, filters=index.filters.limit(0))
+    assert lost(lying.insert(second)) == []
+    again = index.insert(first)
+    assert state(again) == state(index) and again.postings.count() == index.postings.count()
+
+
 def test_line_dedup(spark, corpus):
     got = cuckoo_lines.dedup_lines(frame(spark, corpus)).collect()
     want = brute.without_lines(corpus)
@@ -152,7 +211,8 @@ def test_packing(spark, corpus):
 
     path = queries.tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    rows = corpus + [(300_000, "<|endoftext|> a<|startoftext|>b İ Σ n't é…"), (300_001, "क़ ﬁ don't. U.S., a,b")]
+    marked = [f"{word}{mark}" for word in ("İ", "abİ", "क़", "İstanbulİ", "שׁ", "é", "Ünï", "ß", "ﬁ", "Ω", "ab") for mark in ".,"]
+    rows = corpus + [(310_000 + i, f"x {w} y") for i, w in enumerate(marked)] + [(300_000, "<|endoftext|> a<|startoftext|>b İ Σ n't é…"), (300_001, "क़ ﬁ don't. U.S., a,b")]
     got = harmonic_packing.pack(frame(spark, rows), path).collect()
     ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -173,6 +233,19 @@ def test_packing(spark, corpus):
     assert padding < 0.03 * total
 
 
+def test_words_of_every_kind_of_letter_before_marks():
+    from tokenizers import Tokenizer
+    from unicodedata import category
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    encode = harmonic_packing.encoder(path, end_id=2)
+    letters = [chr(c) for c in [*range(0x3000), *range(0x3000, 0x20000, 7)] if not 0xD800 <= c < 0xE000 and category(chr(c))[0] in "LM"]
+    texts = [t for c in letters for t in (f"{c}.", f"ab{c}, {c}", f"q{c}b.")]
+    want = [np.array(e.ids + [2], "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x for at in range(0, len(texts), 1000) for x in encode(texts[at : at + 1000])]
+    assert [t for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
+
+
 def test_cut_lengths_fill_bins():
     lengths = set(harmonic_packing.class_lengths(4096))
     for n in [*range(1, 300), 4095, 4096, 4097, 9999, 123_457]:
@@ -228,6 +301,30 @@ def test_rare_languages_do_not_cut_the_others_dictionaries(spark):
     assert np.mean([p == "es" for lang, p, _ in seen if lang == "es"]) > 0.75
 
 
+def test_many_languages_are_learned_and_the_smallest_size_wins(spark):
+    import zstandard as z
+
+    rng = random.Random(3)
+    vocabulary = {f"l{k:02}": [f"{''.join(rng.choices('abcdefghijklmnop', k=7))}" for _ in range(60)] for k in range(70)}
+    rows = [(k, " ".join(rng.choices(vocabulary[lang], k=80)), lang) for k, lang in enumerate(sorted(vocabulary) * 4)]
+    rows += [(0, rows[0][1], "l00")] * 50  # a row that repeats takes no other language's place
+    dictionaries = zstd_langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(dictionaries) == sorted(vocabulary)
+    texts = [" ".join(rng.choices(vocabulary[lang], k=30)) for lang in sorted(vocabulary)]
+    classifier = zstd_langid.Classifier(dictionaries)
+    found = classifier.predict_all(texts)
+    assert [x for x, _ in found] == sorted(vocabulary)
+    size, _, langs = classifier.rounds[0]
+    assert len(classifier.rounds) == 1 and langs == sorted(vocabulary)
+    for text, (lang, score) in list(zip(texts, found, strict=True))[:5]:
+        own = []
+        for x in langs:
+            d = z.ZstdCompressionDict(dictionaries[x][-size:], dict_type=z.DICT_TYPE_RAWCONTENT)
+            own.append((len(z.ZstdCompressor(level=zstd_langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(text.encode())) - 9, x))
+        own.sort()
+        assert lang == own[0][1] and score == pytest.approx(1 - own[0][0] / own[1][0])
+
+
 def test_rounds_of_dictionary_sizes():
     assert zstd_langid.rounds({}) == []
     assert zstd_langid.rounds({"a": 90, "b": 5}) == [(4096, {"a", "b"}, ["a", "b"])]
@@ -259,6 +356,55 @@ def test_quality_rejects_plain_outliers_and_keeps_labelled_clean_texts(spark):
     assert n.get((1, False), 0) <= 0.001 * n[1, True]
 
 
+def estimated(x):
+    """Rejected rows of a group's vectors: the module's method in NumPy."""
+    scale, grant = mcd_quality.SCALE, np.array([g for _, g in mcd_quality.FEATURES])
+    half_up = lambda v: np.floor(v / mcd_quality.WIDTH + 0.5)
+    middle = lambda v: np.percentile(half_up(v), 50, axis=0) * mcd_quality.WIDTH
+    m = middle(x)
+    z = ((x - m) / np.maximum(1.4826 * middle(np.abs(x - m)), grant * scale)) ** 2
+    bucket = lambda d: np.floor(np.log(d + 1e-6) * 32)
+
+    def core(d):
+        q = np.floor(np.percentile(bucket(d), 75))
+        return x[bucket(d) <= q] / scale, q
+
+    def fitted(near):
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(grant**2)
+        return np.linalg.slogdet(cov)[1], mean, np.linalg.inv(cov)
+
+    distance = lambda f: np.einsum("ij,jk,ik->i", x / scale - f[1], f[2], x / scale - f[1])
+    fits = []
+    for d in (z.sum(1), z.max(1), z[:, :2].sum(1), z[:, 2:].sum(1)):
+        near, _ = core(d)
+        for _ in range(2):
+            near, _ = core(distance(fitted(near)))
+        fits.append(fitted(near))
+    best = min(fits, key=lambda f: round(f[0], 9))
+    for _ in range(6):
+        new = fitted(core(distance(best))[0])
+        if new[0] >= best[0] - 1e-9:
+            break
+        best = new
+    widen = max(1, np.exp((core(distance(best))[1] + 1) / 32) / mcd_quality.CHI2_CORE)
+    return distance(best) > widen * mcd_quality.CUTOFF
+
+
+def test_quality_verdicts_match_numpy_by_group(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = mcd_quality.judge(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    rows = rows[~rows.base_failed].copy()
+    n, chars = rows.n_words, rows.word_chars
+    vectors = [np.log(1 + n), np.log((chars + 100) / (n + 20)), np.sqrt(rows.n_symbols / (chars + 100)), np.sqrt(rows.n_dup_lines / (n + 20)), np.sqrt(rows.n_repeat_words / (n + 20))]
+    x = np.floor(np.stack(vectors, 1) * mcd_quality.SCALE + 0.5)
+    rows["size"] = rows.groupby(["lang", "source"], dropna=False).doc_id.transform("count")
+    rows["grp"] = np.where(rows["size"] >= mcd_quality.LEAST, rows.lang + "/" + rows.source, rows.lang)
+    own = rows["size"] >= mcd_quality.LEAST
+    assert own.any() and (rows.estimate[own] == "source").all() and (rows.estimate[~own] == "language").all()
+    for _, at in rows.reset_index(drop=True).groupby("grp").groups.items():
+        assert (rows.kept.to_numpy()[at] == ~estimated(x[at])).all()
+
+
 def test_quality_estimate_matches_numpy(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=(400, 5)) * [0.8, 0.2, 0.2, 0.2, 0.3] + 1) * mcd_quality.SCALE
@@ -301,6 +447,14 @@ def test_url_rules(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, want[2], want[3]), u
 
 
+def test_url_rules_without_rules_or_pages(spark):
+    pages = spark.createDataFrame([(1, "http://example.com/en/"), (1, "http://example.com/en/"), (2, "x://" + "a." * 20_000 + "com/" + "p" * 50_000)], "page_id long, url string")
+    got = url_rules.judge_urls(pages, url_rules.rules_frame(spark, [])).collect()
+    assert [(r.rule, r.verdict) for r in got] == [(None, "allow")] * 3
+    assert len(url_rules.judge_urls(pages, url_rules.rules_frame(spark, [("com", "/p", "block")])).where("verdict = 'block'").collect()) == 1
+    assert url_rules.judge_urls(pages.limit(0), url_rules.rules_frame(spark, queries.URL_RULES)).collect() == []
+
+
 def test_chat_collapse(spark):
     rows = []
     say = lambda c, *texts: rows.extend((c, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts))
@@ -318,6 +472,9 @@ def test_chat_collapse(spark):
     text = chat_collapse.collapse_and_render(turns, opening="[", closing="]").where("conv_id = 9").first().rendered
     assert text == "[user\nfirst][user\nsecond]"
     assert chat_collapse.collapse_and_render(turns.limit(0)).count() == 0
+    clash = turns.withColumn("position", F.lit("x")).withColumn("n", F.lit("y")).withColumn("h1", F.lit("z")).unionByName(
+        spark.createDataFrame([(20, 0, "user", LONG, "x", "y", "z")], "conv_id long, turn long, role string, text string, position string, n string, h1 string"))
+    assert {r.conv_id: r.n_turns for r in chat_collapse.collapse_and_render(clash).collect()} == {k: n for k, (n, _) in got.items()} | {20: 1}
 
 
 def test_decontamination(spark):
@@ -346,6 +503,33 @@ def test_decontamination_finds_verbatim_copies_of_number_heavy_items(spark):
     assert sorted((r.doc_id, r.item_id, r.n_hits, r.n_windows) for r in got) == [(1, 1, 3, 3), (2, 2, 1, 1)]
 
 
+def test_decontamination_checks_slots_over_the_whole_occurrence_and_types_number_words(spark):
+    filler = " ".join(f"word{i}" for i in range(20))
+    items = [(1, f"when Alice Smith went out {filler} then Alice Smith came home"), (2, "the shop opens at three in summer and closes five hours later on most other days")]
+    docs = [
+        (1, f"when Bob Jones went out {filler} then Bob Jones came home"), (2, f"when Bob Jones went out {filler} then Carol White came home"),
+        (3, "the shop opens at four in summer and closes six hours later on most other days"), (4, "the shop opens at 4 in summer and closes 6 hours later on most other days"),
+        (5, "the shop opens at nice in summer and closes big hours later on most other days"),
+    ]
+    found = {(r.doc_id, r.item_id): (r.n_hits, r.n_windows) for r in template_decontam.hits(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found[1, 1][0] == found[1, 1][1] and found[2, 1][0] <= found[1, 1][0] - 7
+    assert found[3, 2][0] == found[3, 2][1] == found[4, 2][0] and (5, 2) not in found
+
+
+def test_decontamination_recall_of_planted_questions(spark):
+    rng = random.Random(12)
+    names, nouns = ["Tom", "Anna", "Peter", "Lucy", "Omar", "Ines"], ["apples", "books", "tickets", "stones", "lamps"]
+    ask = lambda a, b, x, y, z, w: f"{a} has {x} {w} in a box. {b} gives {a} another {y} {w} and then {a} loses {z} of them on the way home. How many {w} does {a} have in the end?"
+    items = [(k, ask("Tom", "Anna", 12, 7, 3, w)) for k, w in enumerate(nouns)]
+    docs = []
+    for k in range(60):
+        a, b = rng.sample(names, 2)
+        docs.append((k, "Some words before it. " + ask(a, b, *rng.sample(range(20, 90), 3), nouns[k % 5]) + " And after it."))
+    docs += [(100 + k, f"{n} has a garden with old trees. {n} reads there and then walks home in the end.") for k, n in enumerate(names)]
+    got = {(r.doc_id, r.item_id) for r in template_decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len({d for d, i in got if d < 60 and i == d % 5}) >= 0.9 * 60 and not {d for d, _ in got if d >= 100}
+
+
 def test_decontamination_takes_names_at_sentence_starts_for_slots(spark):
     items = [(1, "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"), (2, "Tom\nsays to Mary \"Peter walks to the old mill by the river\" twice.")]
     docs = [
