@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgauge.llm import cuckoo_lines, harmonic_packing, minhash_dedup, template_decontam, zstd_langid
-from inkgauge.llm.common import table, written
+from inkgauge.llm.common import freed, table
 from inkgauge.llm.queries import tokenizer_path
 
 #: Compression, tokenizers and sketches are not SQL: tests compare the pipeline with a brute-force version.
@@ -55,8 +55,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the table documents; between stages tables are written and read again."""
+    """The last stage's rows over the table documents; between stages tables are written and read again, and what a stage leaves is removed."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with freed(last=k > 0) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
