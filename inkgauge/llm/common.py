@@ -18,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A Python worker handles at most so many rows, and about so many bytes, at once.
 SLICE, SLICE_BYTES = 1024, 2_000_000
 #: Entries, and bytes of words and values, of one generation of a worker's word cache; two generations are held.
-CACHE_WORDS, CACHE_BYTES = 300_000, 24_000_000
+CACHE_WORDS, CACHE_BYTES = 200_000, 24_000_000
 #: A key with over 1 / PIECES of a task's fair share of a join's rows is split into pieces of that size.
 PIECES, LEAST_PIECE = 4, 100
 

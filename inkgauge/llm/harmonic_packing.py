@@ -27,7 +27,7 @@ from inkgauge.llm.common import Remembered, map_slices, written
 #: Pieces shorter than this are tails of documents: a class for each length.
 TAIL = 64
 #: Words of one generation of the encoder's memory, up to 640 bytes each as measured.
-WORDS = 350_000
+WORDS = 200_000
 #: A mark after letters that stay single letters when lowered and composed. Of other letters some become a letter and a
 #: combining mark, which the tokenizer joins to the mark after it, so such words are encoded whole.
 _MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
@@ -92,7 +92,7 @@ def encoder(tokenizer_path: str, *, end_id: int) -> Callable[[list[str | None]],
     def ids_of(words: list[str]) -> list[bytes]:
         """Through a plainer form that has the same ids: A-Z lowered, a mark after plain letters on its own."""
         plain = [(w.lower() if w.isascii() and "<|" not in w else w) for w in words]
-        stems = [w[:-1] if _MARKED.fullmatch(w) else w for w in plain]
+        stems = [w[:-1] if w[-1:] in marks and _MARKED.fullmatch(w) else w for w in plain]
         ids = {w: known.get(w) for w in {*stems, *marks}}
         ids.update(from_library([w for w, x in ids.items() if x is None]))
         return [ids[s] if s is w else ids[s] + ids[w[-1]] for s, w in zip(stems, plain, strict=True)]
