@@ -86,9 +86,11 @@ def word_distance(a: Column, b: Column) -> Column:
     """
     first, most = _PLANES
     known = F.array_distinct(F.concat(a, b))
-    at = lambda t: F.array_position(known, t) + F.lit(first - 1)
-    code = lambda xs: F.array_join(F.transform(xs, lambda t: F.decode(F.unhex(F.lpad(F.hex(at(t)), 8, "0")), "UTF-32")), "")
-    return F.when(F.size(known) <= most, F.levenshtein(code(a), code(b))).otherwise(F.raise_error(F.lit(f"over {most} distinct tokens in one pair")).cast("int"))
+    place = lambda t, k: F.array_position(k, t) + F.lit(first - 1)
+    code = lambda xs, k: F.array_join(F.transform(xs, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t, k)), 8, "0")), "UTF-32")), "")
+    # As a lambda's variable the distinct tokens are made once a pair, not once a token.
+    distance = F.get(F.transform(F.array(known), lambda k: F.levenshtein(code(a, k), code(b, k))), F.lit(0))
+    return F.when(F.size(known) <= most, distance).otherwise(F.raise_error(F.lit(f"over {most} distinct tokens in one pair")).cast("int"))
 
 
 def error_rate(distance: Column, size: Column, hyp_size: Column) -> Column:
