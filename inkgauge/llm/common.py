@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +41,27 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker lives from task to task and from stage to stage, so what one
+    task has freed would stay beside the JVM's memory while the next stage runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        return
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, its memory given back when a task's rows are done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dict], list], list]], columns: list[str]) -> DataFrame:
     """Run ``work()`` once per task, then its result on slices of the rows.
 
@@ -58,7 +81,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dic
                 if len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidy(run), schema)
 
 
 class Remembered:
@@ -168,7 +191,7 @@ def rewrite(df: DataFrame, inputs: list[str], added: str, work: Callable[[], Cal
                 arrays += [pa.array(x, type=f.type) for x, f in zip(out, target, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def skew_join(rows: DataFrame, other: DataFrame, key: str, spread: str, *, index: DataFrame | None = None) -> DataFrame:
