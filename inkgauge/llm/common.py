@@ -19,6 +19,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A Python worker handles at most so many rows, and about so many bytes, at once.
 SLICE, SLICE_BYTES = 1024, 2_000_000
+#: Spark sends a worker batches of about so many bytes (or one row), unless the session says otherwise. Its own 64 MB, or
+#: 10,000 rows, lie several times in the JVM's and the worker's memory.
+BATCH_BYTES = 4 << 20
 #: Entries, and bytes of words and values, of one generation of a worker's word cache; two generations are held.
 CACHE_WORDS, CACHE_BYTES = 200_000, 24_000_000
 #: A key with over 1 / PIECES of a task's fair share of a join's rows is split into pieces of that size.
@@ -34,7 +37,6 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     rows = min(SLICE, max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
@@ -52,14 +54,17 @@ def give_back() -> None:
         return
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``, its memory given back when a task's rows are done."""
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over small batches, which gives memory back when a task's rows are done. Sets the session's batch bytes if unset."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         give_back()
 
-    return whole
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(whole, schema)
 
 
 def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dict], list], list]], columns: list[str]) -> DataFrame:
@@ -81,7 +86,7 @@ def map_slices(df: DataFrame, schema: str, work: Callable[[], Callable[[list[dic
                 if len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return df.select(*columns).mapInArrow(tidy(run), schema)
+    return map_arrow(df.select(*columns), run, schema)
 
 
 class Remembered:
@@ -191,7 +196,7 @@ def rewrite(df: DataFrame, inputs: list[str], added: str, work: Callable[[], Cal
                 arrays += [pa.array(x, type=f.type) for x, f in zip(out, target, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.mapInArrow(tidy(run), schema)
+    return map_arrow(df, run, schema)
 
 
 def skew_join(rows: DataFrame, other: DataFrame, key: str, spread: str, *, index: DataFrame | None = None) -> DataFrame:

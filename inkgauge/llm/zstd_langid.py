@@ -31,7 +31,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.llm.common import map_slices, slices, tidy, written
+from inkgauge.llm.common import map_arrow, map_slices, slices, written
 
 #: Bounds of the learning sample, per language and in all.
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, TOTAL_BYTES = 160, 2048, 112_640, 1 << 26
@@ -168,4 +168,4 @@ def keep_identified(docs: DataFrame, *, margin: float = MARGIN) -> DataFrame:
                 found = classifier.predict_all(part.column(at).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= margin for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return map_arrow(docs, run, schema)
