@@ -146,10 +146,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = (F.least("n_a", "n_b") * DENOMINATOR) >= (F.greatest("n_a", "n_b") * NUMERATOR)
     pairs = written(pairs.where(sizes).select("a", "b").distinct())
     by_a, by_b = _counted(pairs, "a"), _counted(pairs, "b")
-    needed = written(by_a.select(F.col("a").alias("class")).unionByName(by_b.select(F.col("b").alias("class"))).distinct())
-    sets = _of(sets, needed, "class")
-    left = skew_join(pairs, sets.select(F.col("class").alias("a"), F.col("elements").alias("set_a")), "a", "b", index=by_a)
-    both = skew_join(left, sets.select(F.col("class").alias("b"), F.col("elements").alias("set_b")), "b", "a", index=by_b)
+    side = lambda x, by: _of(sets.select(F.col("class").alias(x), F.col("elements").alias(f"set_{x}")), by.select(x), x)
+    left = skew_join(pairs, side("a", by_a), "a", "b", index=by_a)
+    both = skew_join(left, side("b", by_b), "b", "a", index=by_b)
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     return both.where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b").distinct()
@@ -162,34 +161,43 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame) -> DataFrame:
-    rows = written(sketches(docs))
-    classes = written(
-        rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
-    )
-    members = classes.select("class", F.explode("bands").alias("band"))
-    buckets = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")))
-    members = written(skew_join(members, buckets, "band", "class"))
-    # A class whose buckets are large is near the middle of its group: the text that others were made from.
-    central = written(members.groupBy("class").agg(F.sum("size").alias("weight")))
-    members = written(members.join(central, "class"))
-    # Only classes that share a bucket are ever compared: their sets are made once more from the texts and kept.
-    traits = written(_of(classes.select("class", "n", *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(_WORDS64)]), central.select("class"), "class"))
+    with freed() as keep:  # bands and bits of all rows go as soon as the classes that share buckets have theirs
+        sketched = written(sketches(docs))
+        rows = keep(sketched.select("doc_id", "n_shingles", "set_key"))
+        classes = written(
+            sketched.where("set_key is not null and doc_id is not null").groupBy("set_key")
+            .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
+        )
+        owners = keep(classes.select("set_key", "class"))
+        members = classes.select("class", F.explode("bands").alias("band"))
+        buckets = keep(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")))
+        members = written(skew_join(members, buckets, "band", "class"))
+        # A class whose buckets are large is near the middle of its group: the text that others were made from.
+        central = keep(members.groupBy("class").agg(F.sum("size").alias("weight")))
+        members = keep(members.join(central, "class"))
+        # Only classes that share a bucket are ever compared: their sets are made once more from the texts and kept.
+        traits = keep(_of(classes.select("class", "n", *[F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(_WORDS64)]), central.select("class"), "class"))
     sets = written(sets_of(_of(docs.select(F.col("doc_id").alias("class"), "text"), central.select("class"), "class")))
     links = written(_same_documents(rows))
-    roots = smallest_reachable(links)
+    roots = _roots_of(links)
     for turn in range(LEADER_ROUNDS + 1):
-        open_members = _open(members, buckets, roots)
-        if open_members.isEmpty():
-            break
-        pairs = _leader_pairs(open_members, traits, turn) if turn < LEADER_ROUNDS else _remaining_pairs(open_members, traits, sets)
-        links = written(links.unionByName(verified(pairs, sets)))
-        roots = smallest_reachable(links)
-    out = rows.join(classes.select("set_key", "class"), "set_key", "left")
+        with freed() as keep:
+            open_members = _open(members, buckets, roots)
+            if open_members.isEmpty():
+                break
+            pairs = _leader_pairs(open_members, traits, turn) if turn < LEADER_ROUNDS else _remaining_pairs(open_members, traits, sets)
+            links = keep(links.unionByName(verified(pairs, sets)))
+        roots = _roots_of(links)
+    out = rows.join(owners, "set_key", "left")
     return out.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "class", "doc_id")).alias("component_id"))
 
 
+def _roots_of(links: DataFrame) -> DataFrame:
+    with freed() as keep:
+        return keep(smallest_reachable(links))
+
+
 def _same_documents(rows: DataFrame) -> DataFrame:
     """(a, b) between classes that rows of one doc_id belong to."""
     keyed = rows.where("set_key is not null and doc_id is not null")
